@@ -136,10 +136,10 @@ def _extrema(source: str, column: str) -> str:
     return f"{source} SELECT pe_id, round(v, 6) AS value, (row_number() OVER (ORDER BY v DESC, pe_id))::INTEGER AS rank, row_number() OVER (ORDER BY v DESC, pe_id) <= 10 AS extreme FROM (SELECT pe_id, {column}::DOUBLE AS v FROM ranked)"
 
 
-_CHARE = f"{_SPANS}, halves AS (
+_CHARE = f"""{_SPANS}, halves AS (
   SELECT run, chare_name, coalesce(t, 0) AS t, c FROM (SELECT CASE WHEN pe_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, chare_name, count(*) AS c FROM named GROUP BY ALL) n
   JOIN (SELECT CASE WHEN pe_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run, coalesce(chare_name, '') AS k, sum(clipped_us) AS t FROM spans GROUP BY ALL) d USING (run) WHERE d.k = coalesce(n.chare_name, '')
-), ranked AS (SELECT chare_name, (row_number() OVER (ORDER BY sum(t) DESC, chare_name NULLS FIRST))::INTEGER AS rank FROM halves GROUP BY 1)"
+), ranked AS (SELECT chare_name, (row_number() OVER (ORDER BY sum(t) DESC, chare_name NULLS FIRST))::INTEGER AS rank FROM halves GROUP BY 1)"""
 
 
 def _compare(column: str) -> str:
