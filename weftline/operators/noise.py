@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.spans import whole
 from weftline.operators.spans import Pes, Window, entry_spans, idle_spans
-from weftline.plans.shape import broadcast_within
+from weftline.plans.shape import broadcast_within, cut
 from weftline.sources.dataset import TraceDataset
 
 SLICE_US = 10_000_000
@@ -25,7 +27,7 @@ def execution_candidates(ds: TraceDataset, pes: Pes, window: tuple[int, int], wi
     counts = spans.where(F.col("wall_duration_us").isNotNull()).groupBy("ep_id", "wall_duration_us").agg(F.count(F.lit(1)).alias("c"))
     medians = counts.groupBy("ep_id").agg(F.percentile("wall_duration_us", F.lit(0.5), F.col("c")).alias("m"))
     noise = F.col("wall_duration_us") - F.col("m")
-    return spans.join(broadcast_within(medians), "ep_id").where(noise >= width_us).select(F.lit("execution").alias("kind"), "pe_id", F.col("start_time_us").alias("time_us"), noise.cast("bigint").alias("noise_us"))
+    return spans.join(medians, "ep_id").where(noise >= width_us).select(F.lit("execution").alias("kind"), "pe_id", F.col("start_time_us").alias("time_us"), noise.cast("bigint").alias("noise_us"))
 
 
 def idle_gap_candidates(ds: TraceDataset, pes: Pes, window: tuple[int, int], width_us: int, slice_us: int = SLICE_US) -> DataFrame:
@@ -41,7 +43,7 @@ def idle_gap_candidates(ds: TraceDataset, pes: Pes, window: tuple[int, int], wid
     reach = of_slice.select("pe_id", "slice", F.max("top").over(W.partitionBy("pe_id").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("reach"))
     inside = W.partitionBy("pe_id", "slice").orderBy("s", "e").rowsBetween(W.unboundedPreceding, -1)
     covered = F.greatest(F.max("e").over(inside), F.col("reach"))
-    gaps = spans.join(broadcast_within(reach), ["pe_id", "slice"]).withColumn("covered", covered)
+    gaps = spans.join(reach, ["pe_id", "slice"]).withColumn("covered", covered)
     noise = F.col("s") - F.col("covered")
     return gaps.where(noise >= width_us).select(F.lit("idle_gap").alias("kind"), "pe_id", F.col("covered").alias("time_us"), noise.alias("noise_us"))
 
@@ -53,6 +55,7 @@ def assign_clusters(bins: DataFrame, width_us: int, merge_threshold: float) -> D
     middle is at most ``1 + merge_threshold`` times the middle of the cluster's
     first bin.  Ids count on from kind to kind.
     """
+    bins = cut(bins)
     middle = lambda b: (b + F.lit(0.5)) * F.lit(float(width_us))
     start = F.array().cast("array<bigint>")
 
@@ -97,13 +100,21 @@ class NoiseMiner:
         self.cutoff, self.min_pes = importance_cutoff, min_pes
         self.runtime = (self.window[1] - self.window[0]) * max(1, ds.num_pes if pes is None else len(list(pes)))
         both = execution_candidates(ds, pes, self.window, width_us).unionByName(idle_gap_candidates(ds, pes, self.window, width_us))
-        self.candidates = both.withColumn("bin_idx", F.floor(F.col("noise_us") / width_us))
+        #: Computed once: clusters, statistics and occurrences all read them.
+        self.candidates = cut(both.withColumn("bin_idx", F.floor(F.col("noise_us") / width_us)))
+
+    @cached_property
+    def clusters(self) -> DataFrame:
+        return cut(assign_clusters(self.candidates.select("kind", "bin_idx").distinct(), self.width, self.threshold))
 
     def assigned(self) -> DataFrame:
-        clusters = assign_clusters(self.candidates.select("kind", "bin_idx").distinct(), self.width, self.threshold)
-        return self.candidates.join(broadcast_within(clusters), ["kind", "bin_idx"])
+        return self.candidates.join(broadcast_within(self.clusters), ["kind", "bin_idx"])
 
     def summary(self) -> DataFrame:
+        return self._summary
+
+    @cached_property
+    def _summary(self) -> DataFrame:
         rows = self.assigned()
         stats = rows.groupBy("cluster_id", "kind").agg(
             F.median("noise_us").alias("noise_us_median"), F.min("noise_us").alias("noise_us_min"), F.max("noise_us").alias("noise_us_max"),
@@ -115,12 +126,12 @@ class NoiseMiner:
         periods = rows.select("cluster_id", step.alias("step")).where(F.col("step").isNotNull()).groupBy("cluster_id").agg(
             F.median("step").alias("period_us"), F.try_divide(F.stddev_samp("step"), F.avg("step")).alias("period_cv")
         )
-        return stats.join(periods, "cluster_id", "left").withColumn("likely_source", likely_source(self.quantum, self.threshold)).select(
+        return cut(stats.join(periods, "cluster_id", "left").withColumn("likely_source", likely_source(self.quantum, self.threshold)).select(
             "cluster_id", "kind", "noise_us_median", "noise_us_min", "noise_us_max", "occurrences", "pe_count", "total_noise_us", "runtime_fraction", "period_us", "period_cv", "likely_source"
-        )
+        ))
 
     def occurrences(self) -> DataFrame:
-        kept = self.summary().select("cluster_id")
+        kept = self._summary.select("cluster_id")
         return self.assigned().join(broadcast_within(kept), "cluster_id", "left_semi").select("cluster_id", "kind", "pe_id", "time_us", "noise_us")
 
     def timeline(self, bins: int = 50, weight: str = "count") -> DataFrame:

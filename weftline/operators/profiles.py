@@ -13,7 +13,6 @@ from weftline.functions.spans import clipped, whole
 from weftline.operators.filters import by_pe, by_sample_time, select_rows
 from weftline.operators.metrics import chare_activity_matrix, chare_duration_totals, chare_frequency_counts, chare_load_by_bin, per_pe_utilization
 from weftline.operators.spans import Pes, Window, bin_spans, clipped_spans, entry_spans, idle_spans
-from weftline.plans.shape import broadcast_within
 from weftline.sources.dataset import TraceDataset
 
 OTHER, IDLE = "Other", "Idle"
@@ -31,9 +30,9 @@ def _fold_others(each: DataFrame, keys: list[str], top_n: int) -> DataFrame:
     """Per keys and entry method, with all but the ``top_n`` largest methods summed as OTHER."""
     totals = each.groupBy("ep_id", "ep_name").agg(F.sum("total_us").alias("grand"))
     best = _ranked(totals, "grand", "ep_id", "ep_name").where(F.col("_rank") <= top_n).select("ep_id", F.col("ep_name").alias("_name"))
-    # A method registered under two names is one by its id.
+    # A method registered under two names is one by its id.  At most top_n rows are broadcast.
     best = best.groupBy("ep_id").agg(F.min("_name").alias("_name"), F.lit(True).alias("_top"))
-    folded = each.join(broadcast_within(best), "ep_id", "left").withColumns({"_id": F.when(F.col("_top"), F.col("ep_id")), "_label": F.when(F.col("_top"), F.col("_name")).otherwise(OTHER)})
+    folded = each.join(F.broadcast(best), "ep_id", "left").withColumns({"_id": F.when(F.col("_top"), F.col("ep_id")), "_label": F.when(F.col("_top"), F.col("_name")).otherwise(OTHER)})
     return folded.groupBy(*keys, F.col("_id").alias("ep_id"), F.col("_label").alias("label")).agg(F.sum("total_us").alias("total_us"))
 
 
@@ -212,7 +211,7 @@ def dominant_chare(ds: TraceDataset, width_us: int = 100_000, pes: Pes = None, w
         loads = loads.where(F.col("chare_name").isin(chares[:top_n]))
     elif top_n is not None:
         best = _ranked(loads.groupBy("chare_name").agg(F.sum("load_us").alias("t")), "t", "chare_name").where(F.col("_rank") <= top_n)
-        loads = loads.join(F.broadcast(best.select("chare_name")), "chare_name", "left_semi")
+        loads = loads.join(F.broadcast(best.select("chare_name")), "chare_name", "left_semi")  # top_n rows
     # min of a pair without a window: combined before the shuffle.
     best = F.min(F.struct((-F.col("load_us")).alias("less"), "chare_name"))
     return loads.groupBy("pe_id", "bin_start").agg(best.alias("b")).select("pe_id", "bin_start", "b.chare_name", (-F.col("b.less")).alias("load_us"))

@@ -9,27 +9,22 @@ from pyspark.sql import functions as F
 
 from weftline.functions.spans import clip_end, clip_start, clipped
 from weftline.operators.filters import select_rows
-from weftline.plans.shape import broadcast_within
 from weftline.sources.dataset import TraceDataset
 
 Pes = Iterable[int] | None
 Window = tuple[int, int] | None
 
 
-def names(ds: TraceDataset) -> DataFrame:
-    """(ep_id, ep_name, collection_id, chare_name): the small side of every name join."""
-    methods = ds.entry_method.select("ep_id", F.col("name").alias("ep_name"), "collection_id")
-    collections = ds.chare_collection.select("collection_id", F.col("name").alias("chare_name"))
-    return methods.join(collections, "collection_id", "left").select("ep_id", "ep_name", "collection_id", "chare_name")
-
-
 def entry_spans(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
     """Executions that overlap the window, with entry method and collection names.
 
     An ep_id that is registered twice repeats its executions, one that is not
-    registered has NULL names.
+    registered has NULL names.  The planner knows the size of the two name
+    tables and broadcasts them while they are small.
     """
-    return select_rows(ds.execution, pes, window).join(broadcast_within(names(ds)), "ep_id", "left")
+    methods = ds.entry_method.select("ep_id", F.col("name").alias("ep_name"), "collection_id")
+    collections = ds.chare_collection.select("collection_id", F.col("name").alias("chare_name"))
+    return select_rows(ds.execution, pes, window).join(methods, "ep_id", "left").join(collections, "collection_id", "left")
 
 
 def idle_spans(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
@@ -39,7 +34,7 @@ def idle_spans(ds: TraceDataset, pes: Pes = None, window: Window = None) -> Data
 def message_spans(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
     """Messages sent by the PEs in the window, with the target's name."""
     targets = ds.entry_method.select("ep_id", F.col("name").alias("target_ep_name"))
-    return select_rows(ds.message, pes, window, "src_pe", "send_time_us", None).join(broadcast_within(targets), "ep_id", "left")
+    return select_rows(ds.message, pes, window, "src_pe", "send_time_us", None).join(targets, "ep_id", "left")
 
 
 def message_latency(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:

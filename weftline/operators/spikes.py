@@ -127,7 +127,7 @@ def profiles(rows: DataFrame, grp: str = "grp", member: str = "member", d: str =
     ``d`` must be positive.  Built from histograms per source, so what is
     shuffled does not grow with a source's rows.
     """
-    hist = (
+    hist = cut(
         rows.select(F.col(grp).alias("grp"), F.col(member).alias("member"), F.floor(F.log10(F.col(d).cast("double")) / BIN).alias("b"))
         .groupBy("grp", "member", "b")
         .agg(F.count(F.lit(1)).alias("c"))
@@ -136,7 +136,7 @@ def profiles(rows: DataFrame, grp: str = "grp", member: str = "member", d: str =
     mid = lambda p: F.percentile("x", F.lit(p), F.col("c"))
     source = hist.groupBy("grp", "member").agg(mid(0.5).alias("m"), mid(0.16).alias("lo"), mid(0.84).alias("hi"), F.sum("c").alias("n"))
     group = hist.groupBy("grp").agg(mid(0.5).alias("gm"))
-    source = source.join(broadcast_within(group), "grp")
+    source = source.join(group, "grp")
     shift = source.where(F.col("n") >= 20).groupBy("member").agg(F.percentile(F.col("m") - F.col("gm"), F.lit(0.5)).alias("shift"))
     source = source.join(shift, "member", "left").select(
         "grp", "member", "n",
