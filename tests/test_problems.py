@@ -172,3 +172,12 @@ def test_gaps_and_periods(spark):
         assert rows(gaps(df, "k", "s", "e", latest=900, slice_us=width)) == found
         assert rows(periods(df, "k", "s", "e", latest=900, slice_us=width)) == whole
     assert rows(gaps(df.where("k = 99"), "k", "s", "e")) == []
+
+
+def test_the_level_keeps_to_its_regime(spark):
+    rng = random.Random(8)
+    data = source(rng, 1, 1, 6000, 1000)
+    for i, r in enumerate(data):
+        far = 8.5 if rng.random() < 0.13 else 1.0
+        r[4] = r[3] + int(1000 * far * rng.lognormvariate(0.25 * (i // 40 % 2), 0.25))  # wide regimes, and a level that steps
+    assert run_spikes(spark, data) == set()

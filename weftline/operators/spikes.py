@@ -8,10 +8,10 @@ in time order.
   the member's usual shift against its groups, drawn to the source's own middle
   value as its rows grow.  A source with few rows is thus judged by its like.
 * Values that make up a regular share of a source are regimes of their own: an
-  observation is measured against the nearest regime.
+  observation near one is normal, but only those nearest to the level move it.
 * An observation whose standardised innovation and whose distance both exceed
   their thresholds is flagged and withheld from the filter, so that spikes do
-  not move the level.
+  not move the level; other innovations count up to three standard deviations.
 * Vanishing innovation variance shows as a run of exactly equal measurements;
   it is flagged where the source does not usually repeat values.
 
@@ -40,7 +40,7 @@ from weftline.plans.shape import broadcast_within, cut
 BIN = 0.05  # decades, of the profile's histogram
 PRIOR_ROWS = 30.0  # rows that the prior level counts as
 REGIME_NEAR_TENTHS = 2  # tenths of a decade on either side that count towards a regime
-REGIME_SHARE = 0.06  # least share of a regime
+REGIME_SHARE = 0.06  # least share of a regime and its neighbourhood; a quarter of it must lie at its very place
 REGIME_WIDTH = 0.5  # decades around a regime that it explains
 DRIFT = 0.002  # variance of the level's step
 START_VARIANCE = 0.01
@@ -76,6 +76,7 @@ class SourceFilter:
         spikes: list[int] = []
         stuck: list[int] = []
         level, variance, r, least, threshold, regimes = self.level, self.variance, self.r, self.least, self.threshold, self.regimes
+        own = min((abs(o) for o in regimes), default=2 * least) / 2
         last, value, length, run = self.last, self.value, self.length, self.run
         for i, (k, t, d, x) in enumerate(zip(ids, ts, ds, xs, strict=True)):
             if last == (t, k):  # the same record once more
@@ -102,10 +103,11 @@ class SourceFilter:
                 if abs(v) >= threshold * math.sqrt(variance + r):
                     spikes.append(i)
                     continue
-            elif regimes and (near := min((v - o for o in regimes), key=abs)) and abs(near) < abs(v):
-                v = near
+            elif v >= own or v <= -own:  # of another regime rather than of the level
+                continue
+            spread = 3 * math.sqrt(variance + r)
             gain = variance / (variance + r)
-            level += gain * v
+            level += gain * max(-spread, min(spread, v))
             variance *= 1 - gain
         self.level, self.variance, self.last, self.value, self.length = level, variance, last, value, length
         return spikes, stuck
@@ -145,19 +147,20 @@ def profiles(rows: DataFrame, grp: str = "grp", member: str = "member", d: str =
     )
     # Regimes: places at some distance from the level where the source, or for want of rows its group, has a regular share.
     y = F.round((F.col("x") - F.col("level0")) * 10).cast("int")  # in tenths of a decade
-    near = F.transform(F.sequence(F.lit(-REGIME_NEAR_TENTHS), F.lit(REGIME_NEAR_TENTHS)), lambda k: y + k)
-    local = hist.join(source, ["grp", "member"]).select("grp", "member", "n", "c", F.explode(near).alias("y")).groupBy("grp", "member", "n", "y").agg(F.sum("c").alias("c"))
-    of_group = local.groupBy("grp", "y").agg(F.sum("c").alias("gc")).join(source.groupBy("grp").agg(F.sum("n").alias("gn")), "grp")
-    of_group = of_group.select("grp", "y", (F.col("gc") / F.col("gn")).alias("p"))
-    share = (F.coalesce("c", F.lit(0)) + F.coalesce("p", F.lit(0.0)) * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
-    everywhere = source.select("grp", "member", "n").join(of_group.where(F.col("p") >= REGIME_SHARE / 2), "grp").select("grp", "member", "n", "y", F.lit(0).cast("bigint").alias("c"))
+    near = F.transform(F.sequence(F.lit(-REGIME_NEAR_TENTHS), F.lit(REGIME_NEAR_TENTHS)), lambda k: F.struct((y + k).alias("y"), F.when(k == 0, F.col("c")).otherwise(0).alias("own")))
+    local = hist.join(source, ["grp", "member"]).select("grp", "member", "n", "c", F.explode(near).alias("at")).groupBy("grp", "member", "n", "at.y").agg(F.sum("c").alias("c"), F.sum("at.own").alias("own"))
+    of_group = local.groupBy("grp", "y").agg(F.sum("c").alias("gc"), F.sum("own").alias("gown")).join(source.groupBy("grp").agg(F.sum("n").alias("gn")), "grp")
+    of_group = of_group.select("grp", "y", (F.col("gc") / F.col("gn")).alias("p"), (F.col("gown") / F.col("gn")).alias("pown"))
+    share = lambda c, p: (F.col(c) + F.coalesce(p, F.lit(0.0)) * PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)
+    none = F.lit(0).cast("bigint")
+    everywhere = source.select("grp", "member", "n").join(of_group.where(F.col("p") >= REGIME_SHARE / 2), "grp").select("grp", "member", "n", "y", none.alias("c"), none.alias("own"))
     regimes = (
-        local.unionByName(everywhere.select("grp", "member", "n", "y", "c"))
+        local.select("grp", "member", "n", "y", "c", "own").unionByName(everywhere)
         .where(F.abs("y") >= 6)
         .groupBy("grp", "member", "n", "y")
-        .agg(F.sum("c").alias("c"))
+        .agg(F.sum("c").alias("c"), F.sum("own").alias("own"))
         .join(of_group, ["grp", "y"], "left")
-        .where(share >= REGIME_SHARE)
+        .where((share("c", "p") >= REGIME_SHARE) & (share("own", "pown") >= REGIME_SHARE / 4))
         .groupBy("grp", "member")
         .agg(F.array_sort(F.collect_set(F.col("y") / 10.0)).alias("regimes"))
     )
