@@ -27,7 +27,7 @@ def p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of an entry method on a PE for each stretch of the run, and (stretch -1) for all stretches put together."""
     keys = ["ep_id", "pe_id", "stretch"]
     stretches = sketch_by(_durations(spark, folder), keys, "duration_us")
-    whole = merge_sketches(stretches, keys[:2]).withColumn("stretch", F.lit(-1).cast("bigint"))
+    whole = merge_sketches(stretches, keys[:2], salts=16).withColumn("stretch", F.lit(-1).cast("bigint"))
     return quantiles(stretches.unionByName(whole), keys)
 
 
