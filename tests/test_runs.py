@@ -127,3 +127,8 @@ def test_names_repeat_and_miss(tiny, spark):
 
 def test_palette():
     assert palette([3, 1, 3]) == palette([1, 3]) and len(set(palette(list(range(50))).values())) == 50
+
+
+def test_dataset_methods(tiny):
+    assert tiny.entry_spans([0]).count() == 3 and tiny.idle_spans(window=(0, 300_001)).count() == 1 and tiny.message_spans([3]).count() == 1
+    assert set(tiny.ep_color_map) == {0, 1, 2}

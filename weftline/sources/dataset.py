@@ -86,6 +86,26 @@ class TraceDataset:
     def window(self, window: tuple[int, int] | None) -> tuple[int, int]:
         return window or self.time_range_us
 
+    def entry_spans(self, pes=None, window: tuple[int, int] | None = None) -> DataFrame:
+        from weftline.operators.spans import entry_spans
+
+        return entry_spans(self, pes, window)
+
+    def idle_spans(self, pes=None, window: tuple[int, int] | None = None) -> DataFrame:
+        from weftline.operators.spans import idle_spans
+
+        return idle_spans(self, pes, window)
+
+    def message_spans(self, pes=None, window: tuple[int, int] | None = None) -> DataFrame:
+        from weftline.operators.spans import message_spans
+
+        return message_spans(self, pes, window)
+
+    @cached_property
+    def ep_color_map(self) -> dict[int, str]:
+        """Colours of the registered entry methods, a symbol table's worth of ids."""
+        return palette([r.ep_id for r in self.tables["entry_method"].select("ep_id").distinct().toLocalIterator()])
+
     def __repr__(self) -> str:
         return f"TraceDataset({self.where!r}, pes={self.num_pes}, tables={sorted(self.tables)})"
 
