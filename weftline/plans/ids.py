@@ -16,7 +16,8 @@ def numbered(df: DataFrame, order: list[str], name: str, first: int = 1) -> Data
     Rows are sorted by ranges; each partition numbers its own rows and adds the
     rows of the partitions before it.  No task sees more than its range.
     """
-    laid = cut(range_sorted(df, order, [])).withColumn("_mono", F.monotonically_increasing_id())
+    # Cut before as well: sampling the ranges would compute ``df`` a second time.
+    laid = cut(range_sorted(cut(df), order, [])).withColumn("_mono", F.monotonically_increasing_id())
     laid = laid.withColumns({"_part": F.shiftright("_mono", 33), "_pos": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
