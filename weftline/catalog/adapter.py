@@ -40,7 +40,7 @@ def steps(spark: SparkSession, folder: str) -> DataFrame:
 
 def mobile(spark: SparkSession, folder: str) -> DataFrame:
     arrays = table(spark, folder, "chare_collection").where("ndims >= 1").select("collection_id")
-    return table(spark, folder, "chare_instance").select("instance_id", "collection_id").distinct().join(F.broadcast(arrays), "collection_id", "left_semi")  # collections are a run's types
+    return table(spark, folder, "chare_instance").select("instance_id", "collection_id").distinct().join(arrays, "collection_id", "left_semi")
 
 
 def dataset(spark: SparkSession, folder: str) -> TraceDataset:
