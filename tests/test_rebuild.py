@@ -72,7 +72,10 @@ def test_counter_names(spark):
 
 def test_unpaired_and_unset(spark):
     text = "3 0 11 5 1 0 64 0\n2 0 11 10 2 0 64 18446744073709551615 0 0\n2 0 11 20 2 0 64 -1 0 0\n3 0 11 30 2 0 64 0\n2 0 11 40 3 0 64 1 0 0"
-    assert rows(build(spark, {0: text}).execution(), "start_time_us", "end_time_us", "recv_time_us") == [(20, 30, None)]
+    run_ = build(spark, {0: text})
+    assert rows(run_.execution(), "start_time_us", "end_time_us", "recv_time_us") == [(20, 30, None)]
+    run_.keep_open = True
+    assert rows(run_.execution(), "start_time_us", "end_time_us", "wall_duration_us", "papi_end_0") == [(10, None, None, None), (20, 30, 10, 0), (40, None, None, None)]
 
 
 def test_migrations(spark):

@@ -7,15 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def by_key(records: DataFrame, keys: list[str], order: str, is_begin: Column, payload: list[str]) -> DataFrame:
+def by_key(records: DataFrame, keys: list[str], order: str, is_begin: Column, payload: list[str], keep_open: bool = False) -> DataFrame:
     """Ends with ``begin``, the payload of the begin right before them under the same key.
 
     A later begin replaces an open one; an end without an open begin has no row,
-    nor has a begin that never ends.
+    nor has a begin that never ends.  With ``keep_open`` such a begin stands for
+    itself, with its payload as ``begin`` and NULL in the payload columns.
     """
     w = W.partitionBy(*keys).orderBy(order)
-    before = F.lag(F.struct(is_begin.alias("is_begin"), *payload)).over(w)
-    return records.withColumns({"_is_begin": is_begin, "begin": before}).where(~F.col("_is_begin") & F.col("begin.is_begin")).drop("_is_begin")
+    own = F.struct(is_begin.alias("is_begin"), *payload)
+    marked = records.withColumns({"_b": is_begin, "_own": own, "_before": F.lag(own).over(w), "_ends": ~F.coalesce(F.lead(is_begin).over(w), F.lit(True))})
+    closed = ~F.col("_b") & F.col("_before.is_begin")
+    opened = F.col("_b") & ~F.col("_ends")
+    kept = marked.where(closed | opened if keep_open else closed).withColumn("begin", F.when(F.col("_b"), F.col("_own")).otherwise(F.col("_before")))
+    return kept.withColumns({c: F.when(~F.col("_b"), F.col(c)) for c in payload}).drop("_b", "_own", "_before", "_ends")
 
 
 def toggles(records: DataFrame, keys: list[str], order: str, payload: list[str]) -> DataFrame:

@@ -29,7 +29,9 @@ def _named(spark: SparkSession, names: dict[int, str], key: str) -> DataFrame:
 class Reconstruction:
     """Tables of a run from its lines (pe, line_no, value)."""
 
-    def __init__(self, lines: DataFrame, symbols: Symbols, global_start: int = 0, step_event: int = -1):
+    def __init__(self, lines: DataFrame, symbols: Symbols, global_start: int = 0, step_event: int = -1, keep_open: bool = False):
+        #: Whether executions that never end are kept, with NULL ends.
+        self.keep_open = keep_open
         self.spark, self.symbols, self.start, self.step_event = lines.sparkSession, symbols, global_start, step_event
         self.rows = L.tokens(lines)
 
@@ -63,7 +65,7 @@ class Reconstruction:
     def paired(self) -> DataFrame:
         begins, ends = self.begins().withColumn("is_begin", F.lit(True)), self.ends().withColumn("is_begin", F.lit(False))
         both = begins.unionByName(ends, allowMissingColumns=True)
-        return by_key(both, ["pe", "event"], "line_no", F.col("is_begin"), [c for c in begins.columns if c not in ("pe", "event", "is_begin")])
+        return by_key(both, ["pe", "event"], "line_no", F.col("is_begin"), [c for c in begins.columns if c not in ("pe", "event", "is_begin")], self.keep_open)
 
     def execution(self, instances: DataFrame | None = None) -> DataFrame:
         rows = self.paired()
