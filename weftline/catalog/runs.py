@@ -18,7 +18,7 @@ from weftline.operators.spans import bin_spans, clipped_spans, entry_spans, idle
 from weftline.sources.dataset import TraceDataset
 
 BIN = 1_000_000
-#: A window inside the run at every test size.
+#: A window inside the run at every test size; the queries named ``..._run`` take the whole run.
 PART = (500_000, 2_000_000)
 POINTS = [250_000.0 * k for k in range(1, 9)]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,14 @@ QUERIES: dict[str, Query] = {
     "entry_spans": on(lambda ds: entry_spans(ds, window=PART).select(*SPAN)),
     "idle_spans": on(lambda ds: idle_spans(ds, [0, 1, 2, 3], PART)),
     "message_spans": on(lambda ds: message_spans(ds, window=PART).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
+    "entry_spans_run": on(lambda ds: entry_spans(ds).select(*SPAN)),
+    "message_spans_run": on(lambda ds: message_spans(ds).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
     "message_latency": on(lambda ds: message_latency(ds).select("message_id", "send_to_enqueue_us", "enqueue_to_exec_us", "end_to_end_us")),
     "span_overlap_filter": on(lambda ds: select_rows(ds.execution, [0, 5, 17], PART).select("pe_id", "event", "start_time_us", "end_time_us")),
     "point_filter": on(lambda ds: select_rows(ds.message, None, PART, "src_pe", "send_time_us", None).select("message_id", "send_time_us")),
     "sample_filter": on(lambda ds: by_sample_time(ds.memory_sample, PART)),
     "clipped_durations": on(lambda ds: clipped_spans(ds, window=PART).select("pe_id", "event", "clipped_us")),
+    "clipped_durations_run": on(lambda ds: clipped_spans(ds).select("pe_id", "event", "clipped_us")),
     "bin_spans": on(lambda ds: bin_spans(entry_spans(ds, window=ds.time_range_us), BIN, ds.time_range_us).select("pe_id", "event", "ep_name", "bin_start", "bin_contribution_us")),
     "chare_duration_totals": on(M.chare_duration_totals),
     "chare_frequency_counts": on(M.chare_frequency_counts),
@@ -66,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "pe_load_by_bin": on(lambda ds: M.pe_load_by_bin(ds, BIN)),
     "percent_imbalance_by_bin": on(lambda ds: rounded(M.percent_imbalance_by_bin(ds, BIN), "mean_load_us", "percent_imbalance")),
     "cumulative_imbalance": on(lambda ds: rounded(M.cumulative_imbalance(ds, window=PART, time_points_us=POINTS), "mean_load_us", "percent_imbalance")),
+    "cumulative_imbalance_run": on(lambda ds: rounded(M.cumulative_imbalance(ds), "mean_load_us", "percent_imbalance")),
     "chare_load_by_bin": on(lambda ds: M.chare_load_by_bin(ds, BIN)),
     "per_pe_utilization": on(lambda ds: rounded(M.per_pe_utilization(ds), "utilization", "idle_fraction")),
     "per_interval_utilization": on(lambda ds: rounded(M.per_interval_utilization(ds, BIN), "utilization")),
@@ -75,8 +79,11 @@ QUERIES: dict[str, Query] = {
     "usage_profile": on(lambda ds: rounded(P.usage_profile(ds), "value")),
     "usage_profile_pct": on(lambda ds: rounded(P.usage_profile(ds, as_percentage=True, top_n=5), "value")),
     "ep_profile": on(lambda ds: rounded(P.ep_profile(ds, window=PART), "pct")),
+    "ep_profile_run": on(lambda ds: rounded(P.ep_profile(ds), "pct")),
     "exec_time_histogram": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART), "low", "high")),
     "exec_time_histogram_log": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART, log=True), "low", "high")),
+    "exec_time_histogram_run": on(lambda ds: rounded(P.execution_time_histogram(ds), "low", "high")),
+    "exec_time_histogram_log_run": on(lambda ds: rounded(P.execution_time_histogram(ds, log=True), "low", "high")),
     "exec_time_accumulated": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART, ep_ids=[0, 1, 2], accumulated=True), "low", "high", "accumulated_ms")),
     "message_size_histogram": on(lambda ds: rounded(P.message_size_histogram(ds), "low", "high")),
     **{f"comm_{m}": on(lambda ds, m=m: P.comm_per_pe(ds, m)) for m in ("sent_msgs", "sent_bytes", "recv_msgs", "recv_bytes")},

@@ -153,17 +153,25 @@ best AS (SELECT chare_name, row_number() OVER (ORDER BY sum(load_us) DESC, chare
 SELECT pe_id, bin_start, chare_name, load_us FROM (SELECT *, row_number() OVER (PARTITION BY pe_id, bin_start ORDER BY load_us DESC, chare_name) AS k FROM loads WHERE {visible}) WHERE k = 1"""
 
 
+_EP_PROFILE = """totals AS (SELECT ep_id, ep_name, coalesce(sum(wall_duration_us), 0)::BIGINT AS total_us FROM spans GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (ORDER BY total_us DESC, ep_id, ep_name NULLS FIRST) AS r, sum(total_us) OVER () AS everything FROM totals),
+shown AS (SELECT *, total_us >= everything * 1.0::DOUBLE / 100 AND r <= 12 AS shown FROM ranked)
+SELECT ep_id, ep_name AS label, total_us, round(total_us * 100.0::DOUBLE / everything, 6) AS pct FROM shown WHERE shown
+UNION ALL SELECT NULL, 'Other', sum(total_us)::BIGINT, round(sum(total_us) * 100.0::DOUBLE / max(everything), 6) FROM shown WHERE NOT shown HAVING sum(total_us) > 0"""
 _IMBALANCE = "CASE WHEN mean > 0 THEN (most / mean - 1) * 100 ELSE 0.0 END"
 
 SQL = {
     "entry_spans": f"{_PART} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM spans",
     "idle_spans": f"SELECT * FROM idle_interval WHERE pe_id IN (0, 1, 2, 3) AND start_time_us < {T1} AND (end_time_us IS NULL OR end_time_us > {T0})",
     "message_spans": f"SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id WHERE send_time_us >= {T0} AND send_time_us < {T1}",
+    "entry_spans_run": f"{_SPANS} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM named",
+    "message_spans_run": "SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id",
     "message_latency": "SELECT message_id, enqueue_time_us - send_time_us AS send_to_enqueue_us, exec_start_time_us - enqueue_time_us AS enqueue_to_exec_us, exec_start_time_us - send_time_us AS end_to_end_us FROM message LEFT JOIN entry_method USING (ep_id)",
     "span_overlap_filter": f"SELECT pe_id, event, start_time_us, end_time_us FROM execution WHERE pe_id IN (0, 5, 17) AND start_time_us < {T1} AND (end_time_us IS NULL OR end_time_us > {T0})",
     "point_filter": f"SELECT message_id, send_time_us FROM message WHERE send_time_us >= {T0} AND send_time_us < {T1}",
     "sample_filter": f"SELECT * FROM memory_sample WHERE time_us BETWEEN {T0} AND {T1}",
     "clipped_durations": f"{_PART} SELECT pe_id, event, clipped_us FROM spans",
+    "clipped_durations_run": f"{_SPANS} SELECT pe_id, event, clipped_us FROM spans",
     "bin_spans": f"{_BINS} SELECT pe_id, event, ep_name, bin_start, part AS bin_contribution_us FROM binned",
     "chare_duration_totals": f"{_SPANS} SELECT chare_name, sum(clipped_us)::BIGINT AS total_duration_us FROM spans GROUP BY 1",
     "chare_frequency_counts": f"{_SPANS} SELECT chare_name, count(*) AS execution_count FROM named GROUP BY 1",
@@ -174,6 +182,11 @@ SQL = {
     "cumulative_imbalance": f"""{_PART}, points AS (SELECT unnest([{', '.join(f'{250_000.0 * k}::DOUBLE' for k in range(1, 9))}]) AS p),
 loads AS (SELECT p, pe_id % 4 AS node, sum(wall_duration_us) AS load FROM points JOIN spans ON start_time_us < p GROUP BY ALL),
 m AS (SELECT p, max(load)::BIGINT AS most, avg(load) AS mean FROM points LEFT JOIN loads USING (p) GROUP BY p)
+SELECT p AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coalesce(mean, 0), 6) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m""",
+    "cumulative_imbalance_run": f"""{_SPANS}, ends AS (SELECT min(start_time_us) AS lo, max(start_time_us) AS hi FROM named),
+points AS (SELECT lo + i * ((hi - lo)::DOUBLE / 99) AS p FROM ends, range(1, 100) g(i)),
+loads AS (SELECT p, pe_id % 4 AS node, sum(wall_duration_us) AS load FROM points JOIN named ON start_time_us < p GROUP BY ALL),
+m AS (SELECT p, max(load)::BIGINT AS most, avg(load) AS mean FROM points LEFT JOIN loads USING (p) GROUP BY p)
 SELECT p AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coalesce(mean, 0), 6) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m""",
     "chare_load_by_bin": f"{_BINS} SELECT pe_id, bin_start, chare_name, sum(part)::BIGINT AS load_us FROM binned GROUP BY ALL",
     "per_pe_utilization": f"{_UTIL} SELECT pe_id, busy_time_us, idle_time_us, window_us, overhead_us, round(utilization, 6) AS utilization, round(idle_fraction, 6) AS idle_fraction FROM util",
@@ -188,8 +201,11 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY total_us DESC, ep_id, ep_name N
 shown AS (SELECT *, total_us >= everything * 1.0::DOUBLE / 100 AND r <= 12 AS shown FROM ranked)
 SELECT ep_id, ep_name AS label, total_us, round(total_us * 100.0::DOUBLE / everything, 6) AS pct FROM shown WHERE shown
 UNION ALL SELECT NULL, 'Other', sum(total_us)::BIGINT, round(sum(total_us) * 100.0::DOUBLE / max(everything), 6) FROM shown WHERE NOT shown HAVING sum(total_us) > 0""",
+    "ep_profile_run": f"{_SPANS}, {_EP_PROFILE}",
     "exec_time_histogram": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50)}",
     "exec_time_histogram_log": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True)}",
+    "exec_time_histogram_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50)}",
+    "exec_time_histogram_log_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True)}",
     "exec_time_accumulated": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans WHERE ep_id IN (0, 1, 2)', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, 6) AS accumulated_ms')}",
     "message_size_histogram": f"WITH {_W}, {_histogram('SELECT msg_len::DOUBLE AS v FROM message, w WHERE send_time_us >= t0 AND send_time_us < t1', 49, True)}",
     "comm_sent_msgs": _comm("src_pe", "send_time_us", "count(*)"),
