@@ -8,7 +8,9 @@ pigeonhole principle.  One automaton finds all pieces of all items in one pass
 over a document.  Pieces of an item that lie on about the same diagonal are
 candidates; Myers' bit-parallel edit distance verifies stretches of the item
 there, and a local alignment measures how much of the item is held, in its
-order.
+order.  All pieces are searched, also those that many items have: what is found
+for an item does not depend on the other items.  A sentence pattern filled in
+otherwise is told by its errors and numbers when it is verified.
 
 Scale: the corpus is read once and nothing of it is shuffled or collected.
 Items are a stated query set: they are checked in blocks of bounded size, each
@@ -111,24 +113,6 @@ def held(item: str, text: str) -> tuple[int, int]:
     return i - back, i
 
 
-def _patterns(items: list[tuple[int, str]], pieces: dict[str, list]) -> list[str]:
-    """Pieces that ``SHARED`` or more items hold anywhere: a sentence pattern's wording, not an item's own."""
-    import ahocorasick
-
-    everywhere = ahocorasick.Automaton()
-    for piece in pieces:
-        everywhere.add_word(piece, piece)
-    if not pieces:
-        return []
-    everywhere.make_automaton()
-    holders: dict[str, set[int]] = defaultdict(set)
-    for no, (_, wording) in enumerate(items):
-        for _, piece in everywhere.iter(wording):
-            if len(holders[piece]) < SHARED:
-                holders[piece].add(no)
-    return [piece for piece, found in holders.items() if len(found) >= SHARED]
-
-
 def _same_numbers(numbers: list[str], region: str) -> bool:
     """Whether half of the numbers stand in ``region``: a pattern filled in otherwise has other ones."""
     there = set(_NUMBER.findall(region))
@@ -147,8 +131,6 @@ class Block:
             size = max(LEAST_PIECE, len(wording) // PIECES)
             for at in range(0, max(1, len(wording) - size + 1), size):
                 pieces[wording[at : at + size]].append((no, at))
-        for piece in _patterns(items, pieces):
-            del pieces[piece]
         self.automaton = ahocorasick.Automaton()
         for piece, places in pieces.items():
             self.automaton.add_word(piece, (len(piece), places))
