@@ -1,6 +1,10 @@
 """Leaks that stand or fall with the pieces that are searched."""
 
-from weftline.llm.leakage import leaks
+import random
+
+import pytest
+
+from weftline.llm.leakage import ERRORS, LEAST_PIECE, _any_within, _piece, distance, leaks
 
 
 def found(spark, docs, items, **options):
@@ -17,3 +21,33 @@ def test_items_of_one_pattern(spark):
     assert (1, 1) in whole and not any(d == 2 for d, _ in whole)
     assert found(spark, docs, items, block_letters=10) == whole == found(spark, docs, items, block_letters=250)
     assert found(spark, docs, items[:1]) == {(1, 1)}
+
+
+def words(rng, n):
+    return ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) if i % 20 else str(rng.randrange(100, 10**5)) for i in range(n)]
+
+
+@pytest.mark.parametrize(("n", "every"), [(250, 15), (500, 25), (250, 8)])
+def test_long_items_with_replaced_words(spark, n, every):
+    rng = random.Random(n + every)
+    item, fresh = words(rng, n), words(rng, n)
+    held = [fresh[i] if i % every == every // 2 else w for i, w in enumerate(item)]
+    docs = {1: " ".join(held), 2: " ".join(held[n // 2 - 5 :]), 3: " ".join(held[: n // 3]), 4: " ".join(fresh), 5: "before " * 300 + " ".join(held) + " after" * 300}
+    assert found(spark, docs, [(1, " ".join(item)), (2, "quite other words stand here about the price of rope in winter")]) == {(1, 1), (2, 1), (5, 1)}
+
+
+def test_pieces_outnumber_the_errors():
+    for letters in range(2 * LEAST_PIECE, 4000):
+        for least in (0.5, 0.8):
+            size = _piece(letters, least)
+            for stretch in range(max(1, int(least * letters)), letters + 1, 97):
+                assert stretch // size - 1 - int(ERRORS * stretch) >= 2
+
+
+def test_any_of_several_within():
+    rng = random.Random(3)
+    for _ in range(300):
+        m = rng.randrange(1, 40)
+        patterns, text = ["".join(rng.choice("abc") for _ in range(m)) for _ in range(rng.randrange(1, 8))], "".join(rng.choice("abc") for _ in range(rng.randrange(90)))
+        budget = rng.randrange(max(1, m // 2))
+        assert _any_within(patterns, budget, text) == any(distance(p, text) <= budget for p in patterns)

@@ -1,12 +1,15 @@
 """Evaluation texts that stand in a corpus, whole or in part, not always letter by letter.
 
 An item's own wording (without paragraphs that many items share) is normalised
-to letters and digits and cut into pieces.  The longest stretch that must be
-found, half of the item, spans more pieces than the error budget can spoil, so
-that at least two of them stand unchanged in a document that holds it: the
-pigeonhole principle.  One automaton finds all pieces of all items in one pass
-over a document.  Pieces of an item that lie on about the same diagonal are
-candidates; Myers' bit-parallel edit distance verifies stretches of the item
+to letters and digits and cut into pieces.  The shortest stretch that must be
+found, half of the item, spans more pieces than the errors allowed there can
+spoil, so that at least two of them stand unchanged in a document that holds
+it: the pigeonhole principle.  Pieces are a few letters, their number grows
+with the item.  One automaton finds all pieces of all items in one pass over a
+document.  Pieces of an item whose diagonals differ by no more than the errors
+allowed are candidates.  Those are dropped that share fewer groups of three
+letters with the item than the errors leave over, which no true case does;
+Myers' bit-parallel edit distance verifies stretches of the item
 there, and a local alignment measures how much of the item is held, in its
 order.  All pieces are searched, also those that many items have: what is found
 for an item does not depend on the other items.  A sentence pattern filled in
@@ -30,11 +33,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECES = 16
-LEAST_PIECE = 5
+LEAST_PIECE = 5  # items of fewer than two such pieces must hold one as it is
 #: Letters of the items in one broadcast block.
 BLOCK_LETTERS = 4_000_000
-NEAR = 16  # letters that neighbouring hits' diagonals may differ by: a replaced word or two
+NEAR = 16  # letters that hits' diagonals may always differ by: a replaced word or two
+GRAM = 3
 STRETCH = 0.4  # of an item, that Myers' distance is taken of
 BUDGET = 0.25  # errors a letter in that stretch
 # Errors a letter in the stretch that is reported.  Its numbers tell it from a pattern with other content; without them it must agree more closely.
@@ -86,6 +89,42 @@ def distance(pattern: str, text: str) -> int:
     return best
 
 
+def _any_within(patterns: list[str], budget: int, text: str) -> bool:
+    """Whether :func:`distance` of any of the patterns, all of one length, is within ``budget``.
+
+    Each pattern has a lane of the same numbers, with a guard bit on top that
+    takes its carry.
+    """
+    m = len(patterns[0])
+    if m <= budget:
+        return True
+    ones = sum(1 << k * (m + 1) for k in range(len(patterns)))
+    masks: dict[str, int] = defaultdict(int)
+    for k, pattern in enumerate(patterns):
+        for i, c in enumerate(pattern, k * (m + 1)):
+            masks[c] |= 1 << i
+    full, high, guard = ones * ((1 << m) - 1), ones << m - 1, ones << m
+    scores = ones * ((1 << m) + m - budget - 1)  # a lane's guard bit is set while its score is above the budget
+    pv, mv = full, 0
+    for c in text:
+        eq = masks.get(c, 0)
+        xv = eq | mv
+        xh = (((eq & pv) + pv) ^ pv) | eq
+        ph = mv | full & ~(xh | pv)
+        mh = pv & xh
+        if up := ph & high:
+            scores += up >> m - 1
+        if down := mh & high:
+            scores -= down >> m - 1
+            if scores & guard != guard:
+                return True
+        ph = (ph << 1) & full
+        mh = (mh << 1) & full
+        pv = mh | full & ~(xv | ph)
+        mv = ph & xv
+    return False
+
+
 def _ends(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float]:
     """Where the best local alignment of a and b ends, and its score."""
     gap = 2.0
@@ -119,16 +158,46 @@ def _same_numbers(numbers: list[str], region: str) -> bool:
     return 2 * sum(n in there for n in numbers) >= len(numbers)
 
 
+def _piece(letters: int, least: float) -> int:
+    """Length of the pieces: any stretch of ``least`` of the item or more has two that its errors leave whole."""
+    if letters < 2 * LEAST_PIECE:
+        return LEAST_PIECE
+    stretch = max(1, int(least * letters))
+    return max(1, stretch // (int(ERRORS * stretch) + 4))  # errors, two whole ones, two that the stretch's ends cut
+
+
+def _grams(text: str) -> np.ndarray:
+    """A number for each group of GRAM letters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _may_hold(there: np.ndarray, least: int) -> bool:
+    """Whether the groups that are there leave room for a stretch of ``least`` letters or more with ERRORS a letter.
+
+    An error spoils GRAM groups at most, so of a stretch of n letters, which has
+    n - GRAM + 1, all but n * ERRORS * GRAM stand.
+    """
+    kept = 1 - GRAM * ERRORS
+    need = (GRAM - 1) * (kept - 1) - 1e-6
+    n = max(0, least - GRAM + 1)
+    if there.sum() < kept * n + need:
+        return False
+    above = np.concatenate([[0.0], np.cumsum(there - kept)])
+    return bool((above[n:] - np.minimum.accumulate(above)[: len(above) - n]).max() >= need)
+
+
 class Block:
     """Items with the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: float = 0.5):
         import ahocorasick
 
         self.items = items
+        self.grams = [_grams(wording) for _, wording in items]
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for no, (_, wording) in enumerate(items):
-            size = max(LEAST_PIECE, len(wording) // PIECES)
+            size = _piece(len(wording), least)
             for at in range(0, max(1, len(wording) - size + 1), size):
                 pieces[wording[at : at + size]].append((no, at))
         self.automaton = ahocorasick.Automaton()
@@ -147,21 +216,39 @@ class Block:
             start = end - size + 1
             for no, at in places:
                 hits[no].append((start - at, at))
+        groups = _grams(text)
+        order = np.argsort(groups, kind="stable")
+        groups = groups[order]
         out = []
         for no, own in hits.items():
-            wording = self.items[no][1]
+            wording, grams = self.items[no][1], self.grams[no]
             alone = len(wording) < 2 * LEAST_PIECE
             if len(own) < 2 and not alone:
                 continue
-            own.sort()
+            shortest = max(1, int(least * len(wording)))
+            first = np.searchsorted(groups, grams)
+            times = np.searchsorted(groups, grams, "right") - first
+            if not _may_hold(times > 0, shortest):
+                continue
+            # Hits of one case lie in one slot of diagonals or in two neighbouring ones, and so do its groups.
+            drift = max(NEAR, int(ERRORS * len(wording)) + 1)
+            slots: dict[int, set[int]] = defaultdict(set)
+            for diagonal, at in own:
+                slots[diagonal // drift].add(at)
+            i = np.repeat(np.arange(len(grams)), times)
+            slot = (order[np.arange(len(i)) + np.repeat(first - (np.cumsum(times) - times), times)] - i) // drift
+            by_slot = np.argsort(slot, kind="stable")
+            i, slot = i[by_slot], slot[by_slot]
             share = 0.0
-            first = 0
-            for k in range(1, len(own) + 1):
-                if k < len(own) and own[k][0] - own[k - 1][0] <= NEAR:
+            for k in sorted(slots.keys() | {k - 1 for k in slots}):
+                if len(slots.get(k, set()) | slots.get(k + 1, set())) < (1 if alone else 2):
                     continue
-                if alone or len({at for _, at in own[first:k]}) > 1:
-                    share = max(share, self._verify(wording, text[max(0, own[first][0] - NEAR) : own[k - 1][0] + len(wording) + NEAR], least))
-                first = k
+                there = np.zeros(len(grams), bool)
+                there[i[slice(*np.searchsorted(slot, [k, k + 2]))]] = True
+                if _may_hold(there, shortest):
+                    share = max(share, self._verify(wording, text[max(0, k * drift - NEAR) : max(0, (k + 2) * drift + len(wording) + NEAR)], least))
+                if share == 1.0:
+                    break
             if share >= least:
                 out.append((self.items[no][0], share))
         return out
@@ -171,7 +258,7 @@ class Block:
         width = max(1, int(STRETCH * len(wording)))
         budget = int(BUDGET * width)
         step = max(1, len(wording) // 10)
-        if any(distance(wording[a : a + width], region) <= budget for a in range(0, len(wording) - width + 1, step)):
+        if _any_within([wording[a : a + width] for a in range(0, len(wording) - width + 1, step)], budget, region):
             start, end = held(wording, region)
             own = wording[start:end]
             numbers = _NUMBER.findall(own)
@@ -187,7 +274,7 @@ def _search(corpus: DataFrame, items: list[tuple[int, str]], least: float) -> Da
     shared = corpus.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = Block(shared.value)
+        block = Block(shared.value, least)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
