@@ -42,3 +42,11 @@ def test_totals_of_the_whole_run(spark, db):
     assert sum(r["count"] for r in both(spark, db, "exec_time_histogram_log_run")) == positive
     points = [r["time_point_us"] for r in both(spark, db, "cumulative_imbalance_run")]
     assert len(points) == 99 and max(points) == db.sql("SELECT max(start_time_us) FROM execution").fetchall()[0][0]
+
+
+@have_data
+def test_all_methods_and_elements(spark, db):
+    idle = both(spark, db, "idle_spans_run")
+    assert (len(idle), len({r["pe_id"] for r in idle})) == db.sql("SELECT count(*), count(DISTINCT pe_id) FROM idle_interval").fetchall()[0]
+    n = db.sql("SELECT count(wall_duration_us) FROM execution LEFT JOIN entry_method USING (ep_id)").fetchall()[0][0]
+    assert sum(r["count"] for r in both(spark, db, "exec_time_accumulated_run")) == n

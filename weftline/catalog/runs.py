@@ -53,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "entry_spans": on(lambda ds: entry_spans(ds, window=PART).select(*SPAN)),
     "idle_spans": on(lambda ds: idle_spans(ds, [0, 1, 2, 3], PART)),
     "message_spans": on(lambda ds: message_spans(ds, window=PART).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
+    "idle_spans_run": on(idle_spans),
     "entry_spans_run": on(lambda ds: entry_spans(ds).select(*SPAN)),
     "message_spans_run": on(lambda ds: message_spans(ds).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
     "message_latency": on(lambda ds: message_latency(ds).select("message_id", "send_to_enqueue_us", "enqueue_to_exec_us", "end_to_end_us")),
@@ -85,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "exec_time_histogram_run": on(lambda ds: rounded(P.execution_time_histogram(ds), "low", "high")),
     "exec_time_histogram_log_run": on(lambda ds: rounded(P.execution_time_histogram(ds, log=True), "low", "high")),
     "exec_time_accumulated": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART, ep_ids=[0, 1, 2], accumulated=True), "low", "high", "accumulated_ms")),
+    "exec_time_accumulated_run": on(lambda ds: rounded(P.execution_time_histogram(ds, accumulated=True), "low", "high", "accumulated_ms")),
     "message_size_histogram": on(lambda ds: rounded(P.message_size_histogram(ds), "low", "high")),
     **{f"comm_{m}": on(lambda ds, m=m: P.comm_per_pe(ds, m)) for m in ("sent_msgs", "sent_bytes", "recv_msgs", "recv_bytes")},
     **{f"extrema_{a}": on(lambda ds, a=a: rounded(P.extrema_analysis(ds, a), "value")) for a in P.EXTREMA},

@@ -164,6 +164,7 @@ SQL = {
     "entry_spans": f"{_PART} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM spans",
     "idle_spans": f"SELECT * FROM idle_interval WHERE pe_id IN (0, 1, 2, 3) AND start_time_us < {T1} AND (end_time_us IS NULL OR end_time_us > {T0})",
     "message_spans": f"SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id WHERE send_time_us >= {T0} AND send_time_us < {T1}",
+    "idle_spans_run": "SELECT * FROM idle_interval",
     "entry_spans_run": f"{_SPANS} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM named",
     "message_spans_run": "SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id",
     "message_latency": "SELECT message_id, enqueue_time_us - send_time_us AS send_to_enqueue_us, exec_start_time_us - enqueue_time_us AS enqueue_to_exec_us, exec_start_time_us - send_time_us AS end_to_end_us FROM message LEFT JOIN entry_method USING (ep_id)",
@@ -207,6 +208,7 @@ UNION ALL SELECT NULL, 'Other', sum(total_us)::BIGINT, round(sum(total_us) * 100
     "exec_time_histogram_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50)}",
     "exec_time_histogram_log_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True)}",
     "exec_time_accumulated": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans WHERE ep_id IN (0, 1, 2)', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, 6) AS accumulated_ms')}",
+    "exec_time_accumulated_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, 6) AS accumulated_ms')}",
     "message_size_histogram": f"WITH {_W}, {_histogram('SELECT msg_len::DOUBLE AS v FROM message, w WHERE send_time_us >= t0 AND send_time_us < t1', 49, True)}",
     "comm_sent_msgs": _comm("src_pe", "send_time_us", "count(*)"),
     "comm_sent_bytes": _comm("src_pe", "send_time_us", "sum(msg_len)"),
