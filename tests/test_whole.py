@@ -4,6 +4,8 @@ import duckdb
 import pytest
 from test_entry import DATA, E, have_data
 
+from weftline.catalog.adapter import log_lines
+
 TABLES = ("processing_element", "chare_collection", "entry_method", "chare_instance", "execution", "message", "idle_interval")
 same = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
 
@@ -50,3 +52,13 @@ def test_all_methods_and_elements(spark, db):
     assert (len(idle), len({r["pe_id"] for r in idle})) == db.sql("SELECT count(*), count(DISTINCT pe_id) FROM idle_interval").fetchall()[0]
     n = db.sql("SELECT count(wall_duration_us) FROM execution LEFT JOIN entry_method USING (ep_id)").fetchall()[0][0]
     assert sum(r["count"] for r in both(spark, db, "exec_time_accumulated_run")) == n
+
+
+@have_data
+def test_executions_without_an_end(spark, db):
+    lines = log_lines(spark, DATA)
+    begun, ended = db.sql("SELECT count(*), count(e) FROM (SELECT max(end_time_us) AS e FROM execution GROUP BY pe_id, event)").fetchall()[0]
+    assert begun > ended and [lines.where(lines.value.startswith(c)).where("line_no < 1L << 40").count() for c in ("2 ", "3 ")] == [begun, ended]
+    linked = db.sql("SELECT count(DISTINCT (m.src_pe, m.event)) FROM message m JOIN execution e ON e.src_pe = m.src_pe AND e.event = m.event").fetchall()[0][0]
+    assert sum(r["dst_pe"] is not None for r in both(spark, db, "rebuild_message_run")) == linked
+    both(spark, db, "rebuild_chare_instance_run")

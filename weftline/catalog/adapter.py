@@ -69,12 +69,16 @@ def symbols(spark: SparkSession, folder: str) -> Symbols:
     )
 
 
-def log_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Begin and end lines of every ended execution, and the messages' creation lines."""
+def log_lines(spark: SparkSession, folder: str, ended_only: bool = False) -> DataFrame:
+    """A begin line of every execution, an end line where it ends, and the messages' creation lines.
+
+    ``ended_only`` leaves out executions that never end, with their begin lines.
+    """
     s = symbols(spark, folder)
     layout = spark.createDataFrame([(e, n if n >= 1 else 4) for e, _, n in s.layout()], "ep_id int, arity int")
     names = ["instance_id", "ep_id", "src_pe", "msg_idx", "msg_len", "start_time_us", "recv_time_us", "start_cpu_us", "end_time_us", "end_cpu_us", "papi_begin_0", "papi_begin_1", "papi_end_0", "papi_end_1"]
-    runs = table(spark, folder, "execution").groupBy("pe_id", "event").agg(*[F.max(c).alias(c) for c in names]).where(F.col("end_time_us").isNotNull())
+    runs = table(spark, folder, "execution").groupBy("pe_id", "event").agg(*[F.max(c).alias(c) for c in names])
+    runs = runs.where(F.col("end_time_us").isNotNull()) if ended_only else runs
     runs = runs.join(F.broadcast(layout), "ep_id", "left").withColumn("arity", F.coalesce("arity", F.lit(4)))  # a row per registered method
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     text = lambda *c: F.concat_ws(" ", *[x.cast("string") for x in c])
@@ -84,7 +88,7 @@ def log_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     end = text(F.lit(3), F.col("msg_idx"), F.col("ep_id"), F.col("end_time_us"), F.col("event"), F.col("pe_id"), F.col("msg_len"), zero("end_cpu_us"), zero("papi_end_0"), zero("papi_end_1"))
     line = lambda no, value: F.struct(no.cast("bigint").alias("line_no"), value.alias("value"))
-    run_lines = runs.select(F.col("pe_id").alias("pe"), F.explode(F.array(line(F.col("event") * 2, begin), line(F.col("event") * 2 + 1, end))).alias("l")).select("pe", "l.line_no", "l.value")
+    run_lines = runs.select(F.col("pe_id").alias("pe"), F.explode(F.array(line(F.col("event") * 2, begin), line(F.col("event") * 2 + 1, F.when(F.col("end_time_us").isNotNull(), end)))).alias("l")).select("pe", "l.line_no", "l.value").where(F.col("value").isNotNull())
     sent = table(spark, folder, "message").groupBy("message_id").agg(*[F.max(c).alias(c) for c in ("src_pe", "event", "ep_id", "msg_idx", "msg_len", "send_time_us", "enqueue_time_us", "is_broadcast", "broadcast_fanout")])
     created = text(
         F.when(F.col("is_broadcast"), 20).otherwise(1), F.col("msg_idx"), F.col("ep_id"), F.col("send_time_us"), F.col("event"), F.col("src_pe"), F.col("msg_len"), zero("enqueue_time_us"),
@@ -110,8 +114,8 @@ def event_lines(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.col("pe_id").alias("pe"), "event", F.posexplode(all_).alias("i", "value")).select("pe", (F.col("event").cast("bigint") * 8 + F.col("i")).alias("line_no"), "value")
 
 
-def rebuilt(spark: SparkSession, folder: str) -> Reconstruction:
-    return Reconstruction(log_lines(spark, folder), symbols(spark, folder))
+def rebuilt(spark: SparkSession, folder: str, ended_only: bool = False) -> Reconstruction:
+    return Reconstruction(log_lines(spark, folder, ended_only), symbols(spark, folder))
 
 
 def rebuilt_events(spark: SparkSession, folder: str) -> Reconstruction:

@@ -108,8 +108,10 @@ QUERIES: dict[str, Query] = {
     "dominant_chare": on(lambda ds: P.dominant_chare(ds, BIN)),
     "dominant_chare_top": on(lambda ds: P.dominant_chare(ds, BIN, top_n=3)),
     "rebuild_execution": lambda s, d: A.rebuilt(s, d).execution().select(*EXEC),
-    "rebuild_chare_instance": lambda s, d: A.rebuilt(s, d).chare_instance().select("instance_id", "collection_id", "index_0"),
-    "rebuild_message": lambda s, d: A.rebuilt(s, d).message().select(*MESSAGE),
+    "rebuild_chare_instance_run": lambda s, d: A.rebuilt(s, d).chare_instance().select("instance_id", "collection_id", "index_0"),
+    "rebuild_message_run": lambda s, d: A.rebuilt(s, d).message().select(*MESSAGE),
+    "rebuild_chare_instance": lambda s, d: A.rebuilt(s, d, ended_only=True).chare_instance().select("instance_id", "collection_id", "index_0"),
+    "rebuild_message": lambda s, d: A.rebuilt(s, d, ended_only=True).message().select(*MESSAGE),
     "migration_episode": lambda s, d: A.episodes(s, d).select(*MIGRATION),
     "idle_slot": _events("idle_interval", "pe_id", "start_time_us", "end_time_us", "duration_us"),
     "pair_toggle": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 100").select("pe_id", "user_event_id", "name", "event", "nested_id", "start_time_us", "end_time_us", "duration_us"),

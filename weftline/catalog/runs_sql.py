@@ -127,6 +127,9 @@ _RUNS = """runs AS (
 ), methods AS (SELECT ep_id, max(collection_id) AS collection_id FROM entry_method GROUP BY ep_id),
 keyed AS (SELECT r.*, coalesce(m.collection_id, (SELECT collection_id FROM entry_method ORDER BY ep_id, name LIMIT 1)) AS collection_id, coalesce(instance_id, 0)::INTEGER AS index_0 FROM runs r LEFT JOIN methods m USING (ep_id))"""
 
+#: With executions that never end.
+_BEGUN = _RUNS.replace(" HAVING max(end_time_us) IS NOT NULL", "")
+
 
 def _comm(pe: str, time: str, value: str) -> str:
     return f"WITH {_W} SELECT {pe} AS pe_id, {value}::BIGINT AS value FROM message, w WHERE {pe} IS NOT NULL AND {time} >= t0 AND {time} < t1 GROUP BY 1"
@@ -275,3 +278,4 @@ SELECT *, min(start_time_us) OVER (PARTITION BY step_id) AS global_start_time_us
     "pe_balance": "SELECT max(t)::BIGINT AS most_us, round(max(t) / avg(t), 6) AS balance FROM (SELECT sum(wall_duration_us) AS t FROM execution GROUP BY pe_id)",
     "pe_summary": "SELECT pe_id, sum(wall_duration_us)::BIGINT AS total_us, count(*) AS n, round(avg(wall_duration_us), 6) AS mean_us FROM execution GROUP BY 1",
 }
+SQL |= {f"{name}_run": SQL[name].replace(_RUNS, _BEGUN) for name in ("rebuild_chare_instance", "rebuild_message")}
