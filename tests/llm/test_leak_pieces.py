@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from weftline.llm.leakage import ERRORS, LEAST_PIECE, _any_within, _piece, distance, leaks
+from weftline.llm.leakage import CHANGED, Block, Plan, any_within, budget, distance, leaks, normal
+
+ITEM = "The keeper of Lorana counts 418 lamps before dusk. Who carries the ladder from Tizeno to Bakuri? A red cart leaves Semola at 7:45 and returns with 93 barrels."
 
 
 def found(spark, docs, items, **options):
@@ -23,6 +26,13 @@ def test_items_of_one_pattern(spark):
     assert found(spark, docs, items[:1]) == {(1, 1)}
 
 
+def test_the_same_item_many_times(spark):
+    """An item in several collections is reported of each of them, also with an instruction before it."""
+    task = "Read the passage and answer the question."
+    items = [(1, ITEM), (2, ITEM), (3, ITEM), (4, f"{task}\n\n{ITEM}"), (5, f"{task}\n\nquite other words stand here about rope"), (6, f"{task}\n\nand nothing of that kind is in this one")]
+    assert found(spark, {1: f"Here: {ITEM}", 2: task}, items) == {(1, 1), (1, 2), (1, 3), (1, 4)}
+
+
 def words(rng, n):
     return ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5))) if i % 20 else str(rng.randrange(100, 10**5)) for i in range(n)]
 
@@ -32,22 +42,73 @@ def test_long_items_with_replaced_words(spark, n, every):
     rng = random.Random(n + every)
     item, fresh = words(rng, n), words(rng, n)
     held = [fresh[i] if i % every == every // 2 else w for i, w in enumerate(item)]
-    docs = {1: " ".join(held), 2: " ".join(held[n // 2 - 5 :]), 3: " ".join(held[: n // 3]), 4: " ".join(fresh), 5: "before " * 300 + " ".join(held) + " after" * 300}
-    assert found(spark, docs, [(1, " ".join(item)), (2, "quite other words stand here about the price of rope in winter")]) == {(1, 1), (2, 1), (5, 1)}
+    docs = {1: " ".join(held), 2: " ".join(held[n // 2 - 5 :]), 3: " ".join(held[: n // 3]), 4: " ".join(fresh), 5: "before " * 300 + " ".join(held) + " after" * 300, 6: "x " * 250_000 + " ".join(held)}
+    assert found(spark, docs, [(1, " ".join(item)), (2, "quite other words stand here about the price of rope in winter")]) == {(1, 1), (2, 1), (5, 1), (6, 1)}
+
+
+def test_recall_by_replaced_words():
+    """Every draw within the edits allowed is found; beyond them the share falls off."""
+    rng = random.Random(1)
+    block = Block([(1, ITEM)])
+    own, plain = normal(ITEM), ITEM.split()
+    share: dict[int, float] = {}
+    for n in range(9):
+        hit = inside = lost = 0
+        for _ in range(60):
+            held = list(plain)
+            for i in rng.sample([k for k, w in enumerate(plain) if not any(c.isdigit() for c in w)], n):
+                held[i] = words(rng, 2)[1]
+            text = normal("some words " + " ".join(held) + " follow it")
+            got = bool(block.found([text]))
+            hit += got
+            if distance(own, text) <= budget(len(own)) and n <= CHANGED * len(plain):
+                inside += 1
+                lost += not got
+        share[n] = hit / 60
+        assert lost <= 0.1 * inside
+    # Words of six letters or so for words of any length: four take about the edits allowed, eight are far beyond them.
+    assert all(share[n] == 1.0 for n in range(4)) and share[4] >= 0.9 and share[8] < share[6] < share[4], share
 
 
-def test_pieces_outnumber_the_errors():
-    for letters in range(2 * LEAST_PIECE, 4000):
-        for least in (0.5, 0.8):
-            size = _piece(letters, least)
-            for stretch in range(max(1, int(least * letters)), letters + 1, 97):
-                assert stretch // size - 1 - int(ERRORS * stretch) >= 2
+def test_pieces_outnumber_the_changes():
+    """With any words replaced, up to the limit, a stretch keeps the pieces that a case needs."""
+    rng = random.Random(2)
+    for n in (12, 29, 60, 200):
+        for text in (" ".join(words(rng, n)), "".join(chr(rng.randrange(0x4E00, 0x6E00)) for _ in range(3 * n))):
+            plan = Plan(text, 0.5)
+            starts = [i for i, c in enumerate(text) if not i or text[i - 1] == " "] if " " in text else list(range(len(text)))
+            at = [len(normal(text[:i])) for i in starts] + [len(plan.letters)]
+            for _ in range(200):
+                a = rng.randrange(len(plan.letters) - plan.shortest + 1)
+                b = rng.randrange(a + plan.shortest, len(plan.letters) + 1)
+                units = [k for k in range(len(starts)) if at[k] < b and at[k + 1] > a]
+                changed = rng.sample(units, int(CHANGED * len(units)))
+                kept = [p for p in plan.pieces if a <= p[0] and p[1] <= b and not any(at[k] < p[1] and at[k + 1] > p[0] for k in changed)]
+                assert len(kept) >= plan.need
 
 
-def test_any_of_several_within():
+def test_any_of_many_within():
     rng = random.Random(3)
-    for _ in range(300):
-        m = rng.randrange(1, 40)
-        patterns, text = ["".join(rng.choice("abc") for _ in range(m)) for _ in range(rng.randrange(1, 8))], "".join(rng.choice("abc") for _ in range(rng.randrange(90)))
-        budget = rng.randrange(max(1, m // 2))
-        assert _any_within(patterns, budget, text) == any(distance(p, text) <= budget for p in patterns)
+    for words_ in (1, 2, 3):
+        lanes, masks, texts, want = [], [], [], []
+        alphabet = "abc"
+        rows = 0
+        for k in range(200):
+            m = rng.randrange(64 * words_ - 63, 64 * words_ + 1)
+            pattern = "".join(rng.choice(alphabet) for _ in range(m))
+            text = "".join(rng.choice(alphabet + "x") for _ in range(rng.randrange(1, 90)))
+            if k % 3 == 0:
+                text = text[:20] + "".join(c if rng.random() > 0.1 else rng.choice(alphabet) for c in pattern) + text[20:]
+            edits = rng.randrange(max(1, m // 2))
+            own = np.zeros((4, words_), np.uint64)
+            for i, c in enumerate(pattern):
+                own[alphabet.index(c) + 1, i // 64] |= np.uint64(1 << i % 64)
+            lanes.append((rows, k, m, edits))
+            masks.append(own)
+            rows += 4
+            texts.append([alphabet.find(c) + 1 for c in text])
+            want.append(distance(pattern, text) <= edits)
+        letters = np.zeros((200, max(map(len, texts))), np.int64)
+        for k, t in enumerate(texts):
+            letters[k, : len(t)] = t
+        assert any_within(lanes, np.concatenate(masks), letters).tolist() == want
