@@ -1,6 +1,7 @@
 """Operators of the text and quantile problems: brute force, planted cases, awkward inputs."""
 
 import random
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from weftline.llm.leakage import distance, leaks, normal
 from weftline.llm.packing import pack, pack_lengths, step_groups, token_counts
 from weftline.llm.relative_quantiles import RelativeSketch, merge_sketches, quantiles, sketch_by
-from weftline.llm.sentences import sentences, split
+from weftline.llm.sentences import languages_of, sentences, split
 
 RANKS = [0.5, 0.9, 0.99, 0.999]
 
@@ -181,3 +182,27 @@ def test_units_awkward(spark):
     assert got[4] == [(0, 11, "No end here")] and got[5] == [(0, 16, "“Cut off. And on")] and got[None] == [(0, 4, "One.")]
     assert sorted(got[7]) == [(0, 6, "😀 One."), (7, 11, "Two.")] and len(got[6]) == 25_000
     assert not {1, 2, 3} & set(got)
+
+
+def test_units_of_long_texts():
+    """Time grows with the length only, and no part of a text is judged by another part far away."""
+    began = time.perf_counter()
+    quoted = "“The letter is ready. Come in!” says Ann. "
+    assert len(split(quoted * 16_000)) == 16_000
+    assert len(split("(" * 50_000 + " One ends. Two ends." + "“" * 50_000)) >= 1 and len(split("A.B." * 50_000)) == 1
+    assert len(split("ก ข " * 20_000, "th")) == 40_000
+    assert time.perf_counter() - began < 20
+    en, de = "According to no. 5 of the list he pays the sum to her and goes.", "Das kommt von dem 3. Januar und ist nicht gut, z. B. für den Mann."
+    text = f"{' '.join([en] * 400)}\n\n{' '.join([de] * 2000)}"
+    assert len(split(text, "en")) == 2400 and len(split(text, None)) == 2400
+    assert languages_of([en * 400, de * 2000, "Ann Roux"], "fr") == ["en", "de", "de"]
+
+
+def test_units_of_open_quotations():
+    assert len(split("“An open mark. " + "One sentence here. " * 50)) == 51
+    assert split("“Cut off. And on") == [(0, 16)] and len(split("He says: “Why? Now” and goes. Then “no. And")) == 2
+
+
+def test_units_with_invisible_characters():
+    text = "Mr\u00ad. Lane pays. He goes\u200b. \u200bOn."
+    assert [text[s:e] for s, e in split(text, "en")] == ["Mr\u00ad. Lane pays.", "He goes\u200b.", "On."]
