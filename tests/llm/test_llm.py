@@ -68,19 +68,32 @@ def test_sketches_by_key(spark):
 def test_packing_lengths():
     rng = np.random.default_rng(2)
     for lengths in (rng.integers(1, 2049, 5000), rng.integers(1, 60, 5000), np.full(100, 2048), np.full(99, 1025), np.array([1]), np.array([], np.int64)):
-        container, offset, tier = pack_lengths(lengths)
+        container, offset, tier, pack, context = pack_lengths(lengths)
         used = np.bincount(container, weights=lengths) if len(lengths) else np.array([])
         assert (used <= 2048).all() and (used > 0).all()
         for c in set(container[:200].tolist()):
             own = np.flatnonzero(container == c)
             own = own[np.argsort(offset[own])]
-            assert (offset[own] == np.concatenate([[0], np.cumsum(lengths[own])[:-1]])).all() and len(set(tier[own])) == 1
+            assert (offset[own] == np.concatenate([[0], np.cumsum(lengths[own])[:-1]])).all() and len(set(tier[own])) == 1 and tier[own[0]] == context[own[0]]
+            for k in set(pack[own]):  # a pack keeps to its own context, and its texts lie together
+                inside = own[pack[own] == k]
+                assert lengths[inside].sum() <= context[inside[0]] and len(set(context[inside])) == 1 and (np.diff(np.flatnonzero(pack[own] == k)) == 1).all()
+                assert (lengths[inside] > {256: 0, 512: 256, 1024: 512, 2048: 1024}[context[inside[0]]]).all()
         if len(lengths) == 5000:
             assert lengths.sum() / (2048 * len(used)) > 0.98
+            assert (container != pack_lengths(lengths, tiers=(2048,))[0]).mean() > 0.5  # not one best fit over all
     lengths = rng.integers(1, 2049, 4000)
-    container = pack_lengths(lengths)[0]
-    work = np.bincount(step_groups(container, lengths), weights=lengths.astype(float) ** 2)
-    assert work.max() < 1.2 * work.min()
+    container, _, _, pack, _ = pack_lengths(lengths)
+    groups = step_groups(container, pack, lengths)
+    of_pack = defaultdict(int)
+    for c, k, g, n in zip(container, pack, groups, lengths, strict=True):
+        of_pack[c, k, g] += n
+    work = defaultdict(int)
+    for (_, _, g), n in of_pack.items():
+        work[g] += int(n) ** 2
+    assert max(work.values()) < 1.2 * min(work.values())
+    with pytest.raises(ValueError, match="positive"):
+        pack_lengths(lengths, tiers=(0, 2048))
 
 
 def test_packing_texts(spark):
@@ -100,8 +113,16 @@ def test_packing_texts(spark):
     counts.pop(None)
     assert dict(total) == {k: v for k, v in counts.items() if v} and max(fill.values()) <= 2048
     assert {r.doc_id for r in got if r.parts > 1} == {k for k, v in counts.items() if v > 2048} >= {300}
-    key = lambda rs: sorted((r.doc_id, r.part, r.tokens, r.container) for r in rs)
+    key = lambda rs: sorted((r.doc_id, r.part, r.tokens, r.container, r.container_offset, r.pack) for r in rs)
     assert key(got) == key(pack(df.repartition(5)).collect())
+    shards = key(pack(df, shards=7).collect())
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    assert key(pack(df.repartition(5), shards=7).collect()) == shards  # whatever the partitions and batches
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(9000).selectExpr("1L AS doc_id", "'same words' AS text")  # one row many times
+    assert pack(many, shards=4).groupBy("container").count().count() >= 4 and pack(many, shards=4).count() == 9000
     assert pack(df.where("doc_id = 999")).count() == 0
 
 
