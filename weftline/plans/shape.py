@@ -66,3 +66,17 @@ def semi_by_keys(rows: DataFrame, keys: DataFrame, columns: list[str], bound: in
     salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int"))
     return spread.join(salted, [*columns, "_salt"], "left_semi").drop("_salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it is a scan of fewer partitions than there are cores.
+
+    For steps whose cost is in their own work, not in moving rows: a table in a
+    few small files would otherwise leave cores idle.  Tables with more
+    partitions than cores are not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
