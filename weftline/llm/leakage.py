@@ -36,6 +36,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.shape import spread
+
 #: Letters of the items in one broadcast block, and letters of texts and piece hits looked at together.
 BLOCK_LETTERS, CHUNK_LETTERS, CHUNK_HITS = 500_000, 200_000, 3_000_000
 BLOCKS_KEPT = 8  # indexes that a worker keeps
@@ -455,7 +457,7 @@ def leaks(
     Repeated rows give one result; items registered twice under one id give the
     greater share.  Other columns are not read.
     """
-    corpus = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t"))
+    corpus = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")))
     context = docs.sparkSession.sparkContext
     blocks, block, letters = [], [], 0
     # The items are the stated query set; they pass through the driver in blocks of bounded size.

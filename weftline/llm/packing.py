@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.ranges import key_runs, walk
-from weftline.plans.shape import shuffle_partitions
+from weftline.plans.shape import shuffle_partitions, spread
 
 CAPACITY = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, path: str | None = Non
             counts = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["id", "tokens"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, tokens bigint")
+    return spread(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))).mapInArrow(run, "id bigint, tokens bigint")
 
 
 class _Lengths:

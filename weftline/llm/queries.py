@@ -91,10 +91,10 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_verbatim(spark: SparkSession, folder: str) -> DataFrame:
-    """The leaks whose item stands in the document letter by letter, case aside."""
+    """The leaks whose item stands in the document letter by letter."""
     docs, items = _table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "eval_items").select("item_id", F.col("text").alias("item_text"))
-    wording = F.lower(F.regexp_replace("item_text", r"^[^\n]*\n\n", ""))
-    return p8_found(spark, folder).join(docs, "doc_id").join(items, "item_id").where(F.contains(F.lower("text"), wording)).select("doc_id", "item_id").distinct()
+    wording = F.regexp_replace("item_text", r"^[^\n]*\n\n", "")
+    return p8_found(spark, folder).join(docs, "doc_id").join(items, "item_id").where(F.contains("text", wording)).select("doc_id", "item_id").distinct()
 
 
 def p9_units(spark: SparkSession, folder: str) -> DataFrame:

@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.plans.shape import spread
+
 # Characters.
 ENDS = ".?!。？！．｡。…।॥؟‼⁇⁈⁉"
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
@@ -336,8 +338,9 @@ def sentences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     reaches to the end of its block, and a mark without its counterpart that more
     than CUT_OFF end marks follow counts for nothing.  NULL, empty and white texts have
     no units; whole texts are read, however long.  Repeated rows give repeated
-    units; a NULL id is kept.  Each row is independent: nothing is shuffled.
+    units; a NULL id is kept.  Each row is independent: nothing is shuffled, unless
+    a table has fewer partitions than there are cores.
     """
     recorded = F.lit(None).cast("string") if lang is None else F.col(lang).cast("string")
     got = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"), recorded.alias("lang")).where(F.col("text").isNotNull())
-    return got.mapInArrow(_map, "id bigint, unit_no bigint, start_char bigint, end_char bigint, unit string").withColumnRenamed("id", doc_id)
+    return spread(got).mapInArrow(_map, "id bigint, unit_no bigint, start_char bigint, end_char bigint, unit string").withColumnRenamed("id", doc_id)
