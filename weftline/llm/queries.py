@@ -129,7 +129,7 @@ SQL: dict[str, str] = {
 SELECT ep_id, pe_id, stretch, count(*) AS n, max(v) AS greatest, true AS exact_bounds FROM (FROM d UNION ALL SELECT ep_id, pe_id, -1, v FROM d) GROUP BY ALL""",
     "p7_sound": """SELECT 'texts' AS rule, count(*) AS n FROM documents WHERE text <> '' UNION ALL SELECT r, 0 FROM (VALUES ('container too full'), ('tokens lost or repeated'), ('text split in vain'),
   ('pack beyond its context'), ('container space unused'), ('step group out of balance')) v(r)""",
-    "p8_verbatim": """SELECT DISTINCT doc_id, item_id FROM documents d JOIN (SELECT item_id, lower(regexp_replace(text, '^[^\n]*\n\n', '')) AS w FROM eval_items) i ON contains(lower(d.text), i.w)""",
+    "p8_verbatim": """SELECT DISTINCT doc_id, item_id FROM documents d JOIN (SELECT item_id, regexp_replace(text, '^[^\n]*\n\n', '') AS w FROM eval_items) i ON contains(d.text, i.w)""",
     "p9_letters": f"""WITH t AS (SELECT doc_id, text, regexp_replace(text, '^{SPACE}+', '') AS led, regexp_replace(text, '{SPACE}+$', '') AS ended, regexp_replace(text, '{SPACE}', '', 'g') AS letters FROM documents)
 SELECT doc_id, length(letters)::BIGINT AS letters, (length(text) - length(led))::BIGINT AS first_char, length(ended)::BIGINT AS last_char, 0::BIGINT AS unsound FROM t WHERE length(letters) > 0""",
 }
