@@ -10,7 +10,7 @@ from weftline.operators.grid import regular
 from weftline.operators.heavy_keys import key_stats
 from weftline.operators.intervals import gaps, periods
 from weftline.operators.spikes import spikes
-from weftline.streaming.orphans import OrphanTracker, parents, references
+from weftline.streaming.orphans import OrphanTable, parents, references
 
 
 def latest_end(spark: SparkSession, folder: str) -> int | None:
@@ -26,35 +26,52 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_flags(spark, folder).select(F.col("pe_id").cast("int").alias("pe_id"), F.col("event").cast("int").alias("event")).distinct()
 
 
+def _parents(spark: SparkSession, folder: str) -> DataFrame:
+    t = lambda name: table(spark, folder, name)
+    return (
+        parents(t("entry_method"), "entry_method", "ep_id").unionByName(parents(t("chare_instance"), "chare_instance", "instance_id")).unionByName(parents(t("chare_collection"), "chare_collection", "collection_id"))
+    )
 
-def orphan_tracker(spark: SparkSession, folder: str) -> OrphanTracker:
-    """The run's references, probed against the parents that have arrived."""
+
+def _references(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda name: table(spark, folder, name)
-    tracker = OrphanTracker(spark)
-    tracker.advance(
-        arrived=parents(t("entry_method"), "entry_method", "ep_id")
-        .unionByName(parents(t("chare_instance"), "chare_instance", "instance_id"))
-        .unionByName(parents(t("chare_collection"), "chare_collection", "collection_id"))
-    )
-    run = t("execution")
-    return tracker.advance(
-        references(run, "execution", "ep_id", "entry_method", "pe_id", "event", "start_time_us")
-        .unionByName(references(run, "execution", "instance_id", "chare_instance", "pe_id", "event", "start_time_us"))
+    return (
+        references(t("execution"), "execution", "ep_id", "entry_method", "pe_id", "event", "start_time_us")
+        .unionByName(references(t("execution"), "execution", "instance_id", "chare_instance", "pe_id", "event", "start_time_us"))
         .unionByName(references(t("message"), "message", "ep_id", "entry_method", "message_id", None, "send_time_us"))
         .unionByName(references(t("entry_method"), "entry_method", "collection_id", "chare_collection", "ep_id"))
     )
 
 
+def orphan_table(spark: SparkSession, folder: str) -> OrphanTable:
+    """The run's references, probed against the parents that have arrived."""
+    return OrphanTable(spark, keep_references=False).advance(_references(spark, folder), _parents(spark, folder))
+
+
+def p3_increments(spark: SparkSession, folder: str) -> DataFrame:
+    """(table_name, field_name, period, orphans, keys, batch): counts after each of four increments.
+
+    All references and the parents with even keys come first, then the other
+    parents; then keys divisible by 7 are deleted, and half of those come back.
+    A second object goes on with the state of the first.
+    """
+    every = _parents(spark, folder)
+    even, seventh = F.col("ref_key") % 2 == 0, F.col("ref_key") % 7 == 0
+    first = OrphanTable(spark).advance(_references(spark, folder), every.where(even)).advance(arrived=every.where(~even))
+    again = OrphanTable(spark, first.folder.address).advance(deleted=every.where(seventh)).advance(arrived=every.where(seventh & even))
+    return again.snapshots()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_tracker(spark, folder).orphans().select("table_name", "field_name", "key_1", "key_2", "period")
+    return orphan_table(spark, folder).orphans().select("table_name", "field_name", "key_1", "key_2", "period")
 
 
 def p3_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return orphan_tracker(spark, folder).counts()
+    return orphan_table(spark, folder).counts()
 
 
 def p4_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return key_stats(table(spark, folder, "execution"), ["ep_id", "pe_id"], "start_time_us", "end_time_us")
+    return key_stats(table(spark, folder, "execution"), ["ep_id", "pe_id"], "start_time_us", "end_time_us", ties=["event"])
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +103,7 @@ def p6_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_counts": p3_counts, "p4_found": p4_found, "p4_stats": p4_stats,
+    "p1_found": p1_found, "p1_flags": p1_flags, "p3_found": p3_found, "p3_counts": p3_counts, "p3_increments": p3_increments, "p4_found": p4_found, "p4_stats": p4_stats,
     "p5_found": p5_found, "p5_grid": p5_grid, "p6_found": p6_found, "p6_periods": p6_periods,
 }
 
@@ -121,6 +138,16 @@ _ORPHANS = """pending AS (
 SQL = {
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT table_name, field_name, key_1, key_2, period FROM pending",
     "p3_counts": f"WITH {_ORPHANS} SELECT table_name, field_name, period, count(*) AS orphans, count(DISTINCT ref_key) AS keys FROM pending GROUP BY ALL",
+    "p3_increments": """WITH p AS (SELECT 'entry_method' AS parent, ep_id::BIGINT AS k FROM entry_method UNION SELECT 'chare_instance', instance_id FROM chare_instance UNION SELECT 'chare_collection', collection_id FROM chare_collection),
+r AS (
+  SELECT DISTINCT 'execution' AS table_name, 'ep_id' AS field_name, 'entry_method' AS parent, ep_id::BIGINT AS k, pe_id::BIGINT AS key_1, event::BIGINT AS key_2, (start_time_us // 5000000)::BIGINT AS period FROM execution WHERE ep_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'execution', 'instance_id', 'chare_instance', instance_id, pe_id, event, start_time_us // 5000000 FROM execution WHERE instance_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'message', 'ep_id', 'entry_method', ep_id, message_id, -1, send_time_us // 5000000 FROM message WHERE ep_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'entry_method', 'collection_id', 'chare_collection', collection_id, ep_id, -1, -1 FROM entry_method WHERE collection_id IS NOT NULL
+), live AS (
+  SELECT 0 AS batch, parent, k FROM p WHERE k % 2 = 0 UNION ALL SELECT 1, parent, k FROM p UNION ALL SELECT 2, parent, k FROM p WHERE k % 7 <> 0 UNION ALL SELECT 3, parent, k FROM p WHERE k % 7 <> 0 OR k % 2 = 0
+), waiting AS (SELECT r.*, b.batch FROM r CROSS JOIN (VALUES (0), (1), (2), (3)) b(batch) ANTI JOIN live l ON l.batch = b.batch AND l.parent = r.parent AND l.k = r.k)
+SELECT table_name, field_name, period, count(*) AS orphans, count(DISTINCT k) AS keys, batch::BIGINT AS batch FROM waiting GROUP BY ALL""",
     "p4_found": f"WITH {_KEY_STATS} SELECT field_name, key_value FROM stepped GROUP BY ALL HAVING count(*) >= 0.05 * (SELECT count(*) FROM execution)",
     "p4_stats": f"""WITH {_KEY_STATS} SELECT field_name, key_value, count(*) AS n, count(*) FILTER (e >= s) AS timed, (coalesce(sum(e - s) FILTER (e >= s), 0))::BIGINT AS total_us,
   min(e - s) FILTER (e >= s) AS min_us, max(e - s) FILTER (e >= s) AS max_us, min(s) AS first_start_us, max(s) AS last_start_us, max(step) AS widest_step_us,

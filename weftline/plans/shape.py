@@ -19,15 +19,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    where none is set and the session is local, as in tests, a temporary
-    folder is made; on a cluster a missing folder is an error, since files on
-    one machine would be lost with it.
+    Only where none is set and the session is local, as in tests, a temporary
+    folder is made, which goes with the process; on a cluster a missing folder
+    is an error, since files on one machine would be lost with it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="weftline-")
             atexit.register(shutil.rmtree, named, True)
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared checkpoint folder.
+
+    It runs when it is called.  Spark removes the files once the frame is no
+    longer used, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
