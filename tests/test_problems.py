@@ -3,14 +3,17 @@
 import random
 from collections import defaultdict
 
+import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from weftline.operators.grid import regular
 from weftline.operators.heavy_keys import key_stats
 from weftline.operators.intervals import gaps, periods
 from weftline.operators.spikes import spikes
+from weftline.plans.ranges import range_sorted
 from weftline.plans.shape import semi_by_keys
-from weftline.streaming.orphans import REFERENCE, OrphanTracker, parents, references
+from weftline.streaming.orphans import REFERENCE, OrphanTable, parents, references
 
 RUN = "ep int, pe int, ev int, s long, e long, grp string, kind string, level0 double, n string"
 
@@ -59,6 +62,32 @@ def test_spikes_find_planted_cases(spark):
     assert run_spikes(spark, data, latest=10**9, partitions=1) == want
 
 
+def test_the_innovation_decides(spark):
+    """How far a source may stray depends on how much it usually does."""
+    rng = random.Random(11)
+    data = []
+    for ep, width in ((1, 0.05), (2, 0.25), (3, 0.45)):  # decades
+        own = source(rng, ep, 1, 800, 10_000, 1000 * ep)
+        for r in own:
+            r[4] = r[3] + int(10_000 * 10 ** rng.gauss(0, width))
+        own[500][4] = own[500][3] + 90_000
+        data += own
+    found = {t: run_spikes(spark, data, threshold=t) for t in (1.5, 3.0, 4.5)}
+    assert found[4.5] < found[3.0] < found[1.5]
+    assert {ev for _, ev, _ in found[4.5]} & {1500, 3500} == {1500}  # nine times is much for the first, nothing for the third
+
+
+def test_runs_over_many_small_partitions(spark):
+    rng = random.Random(12)
+    data = source(rng, 1, 1, 200, 2000)
+    for i in range(90, 97):
+        data[i][4] = data[i][3] + 2222
+    data[30][4] = data[30][3] + 50_000
+    want = {(1, i, "stuck") for i in range(90, 97)} | {(1, 30, "spike")}
+    for n in (1, 60, 150):
+        assert run_spikes(spark, data, partitions=n) == want
+
+
 def test_regular_shares_are_normal(spark):
     rng = random.Random(4)
     two = source(rng, 1, 1, 400, 1000)
@@ -78,32 +107,46 @@ def test_orphans_by_increments(spark):
     make = lambda *k: spark.createDataFrame([("t", "f", "p", x, i, -1, i // 10) for i, x in enumerate(k)], REFERENCE)
     parent = lambda *k: spark.createDataFrame([("p", x) for x in k], "parent string, ref_key long")
     waiting = lambda t: [r[0] for r in rows(t.orphans(), "ref_key")]
-    tracker = OrphanTracker(spark).advance(new=make(1, 2, 2, 3, None), arrived=parent(1, None))
+    tracker = OrphanTable(spark).advance(new=make(1, 2, 2, 3, None), arrived=parent(1, None))
     assert waiting(tracker) == [2, 2, 3]
     assert waiting(tracker.advance(arrived=parent(2, 2))) == [3]
     assert waiting(tracker.advance(deleted=parent(1, 77))) == [1, 3]
     assert waiting(tracker.advance(arrived=parent(1), deleted=parent(2))) == [2, 2, 3]
     assert rows(tracker.counts(), "table_name", "period", "orphans", "keys") == [("t", 0, 3, 2)]
-    assert OrphanTracker(spark).advance(new=make()).orphans().count() == 0
+    assert OrphanTable(spark).advance(new=make()).orphans().count() == 0
 
 
 def test_reference_columns(spark):
     df = spark.createDataFrame([(1, 5, 12_000_000, "x"), (1, 5, 12_000_000, "y"), (2, None, 0, "x"), (None, 6, None, "x"), (3, 7, -1, "x")], "id int, k int, t long, ref_key string")
-    got = rows(OrphanTracker(spark).advance(new=references(df, "tab", "k", "p", "id", None, "t"), arrived=parents(df.where("id = 99"), "p", "k")).orphans())
+    got = rows(OrphanTable(spark).advance(new=references(df, "tab", "k", "p", "id", None, "t"), arrived=parents(df.where("id = 99"), "p", "k")).orphans())
     assert got == [("tab", "k", "p", 5, 1, -1, 2), ("tab", "k", "p", 6, None, -1, None), ("tab", "k", "p", 7, 3, -1, -1)]
 
 
 def test_orphans_follow_a_stream(spark, tmp_path):
-    events = spark.createDataFrame([("reference", "t", "f", "p", 1, 1, -1, 0), ("reference", "t", "f", "p", 2, 2, -1, 0)], "kind string, table_name string, field_name string, parent string, ref_key long, key_1 long, key_2 long, period long")
-    events.write.parquet(f"{tmp_path}/in/a")
-    tracker = OrphanTracker(spark)
-    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in/*")
-    query = tracker.follow(stream).option("checkpointLocation", f"{tmp_path}/c").start()
-    query.processAllAvailable()
-    events.where("ref_key = 1").selectExpr("'arrived' AS kind", "table_name", "field_name", "parent", "ref_key", "key_1", "key_2", "period").write.parquet(f"{tmp_path}/in/b")
-    query.processAllAvailable()
-    query.stop()
-    assert rows(tracker.orphans(), "ref_key") == [(2,)]
+    """Parents come late and are deleted; a new object goes on where the first one stopped, and a batch that comes again counts once."""
+    schema = "kind string, table_name string, field_name string, parent string, ref_key long, key_1 long, key_2 long, period long"
+    put = lambda kind, *keys, at: spark.createDataFrame([(kind, "t", "f", "p", k, k, -1, 0) for k in keys], schema).write.parquet(f"{tmp_path}/in/{at}")
+
+    def run():
+        table = OrphanTable(spark, f"{tmp_path}/state", buckets=4)
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+        query = table.follow(stream).option("checkpointLocation", f"{tmp_path}/c").start()
+        query.processAllAvailable()
+        query.stop()
+        return table
+
+    put("reference", 1, 2, 3, at="a")
+    assert rows(run().orphans(), "ref_key") == [(1,), (2,), (3,)]
+    put("arrived", 1, 2, at="b")
+    assert rows(run().orphans(), "ref_key") == [(3,)]
+    put("deleted", 2, at="c")
+    table = run()
+    assert rows(table.orphans(), "ref_key") == [(2,), (3,)]
+    table.advance(new=spark.createDataFrame([("t", "f", "p", 9, 9, -1, 0)], REFERENCE), batch=2)  # once more
+    assert rows(table.orphans(), "ref_key") == [(2,), (3,)]
+    assert rows(table.snapshots(), "batch", "orphans") == [(0, 3), (1, 1), (2, 2)]
+    with pytest.raises(ValueError, match="keep_references"):
+        OrphanTable(spark, keep_references=False).advance(deleted=spark.createDataFrame([("p", 1)], "parent string, ref_key long"))
 
 
 def test_semi_join_salted(spark):
@@ -128,6 +171,11 @@ def test_key_stats(spark):
             want.append((name, key, len(own), len(d), sum(d), min(d), max(d), t[0], t[-1], max(y - x for x, y in zip(t, t[1:], strict=False)), len(own) >= 0.2 * 600))
     for n in (1, 9):  # one partition, and heavy keys over several
         assert rows(key_stats(df, ["a", "b"], "s", "e", heavy_share=0.2, partitions=n)) == sorted(want, key=repr)
+        assert rows(key_stats(df, ["a", "b"], "s", "e", heavy_share=0.2, partitions=n, ties=["e"])) == sorted(want, key=repr)
+    same = spark.range(4000).selectExpr("1 AS a", "CAST(NULL AS long) AS s", "id AS e")  # a heavy key without times is split as well
+    laid = range_sorted(same, ["a"], ["s", "e"], 8)
+    assert laid.groupBy(F.spark_partition_id()).count().count() == 8
+    assert rows(key_stats(same, ["a"], "s", "e", ties=["e"], partitions=8), "n", "timed", "last_start_us") == [(4000, 0, None)]
     assert rows(key_stats(df.where("a = 99"), ["a"], "s", "e")) == []
     lone = spark.createDataFrame([(1, None, None)], "a int, s long, e long")
     assert rows(key_stats(lone, ["a"], "s", "e"), "n", "timed", "min_us", "first_start_us", "widest_step_us", "heavy") == [(1, 0, None, None, None, True)]

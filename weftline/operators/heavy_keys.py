@@ -1,8 +1,8 @@
 """Per-key results over keys of very uneven size.
 
-Rows are laid out by ranges of (field, key, time) whose bounds are sampled
+Rows are laid out by ranges of (field, key, time, ties) whose bounds are sampled
 quantiles of the whole key; a heavy key is split over several partitions and
-light keys share one.  A streaming pass leaves one partial state per key and
+light keys share one, also where its rows have one time or none.  A streaming pass leaves one partial state per key and
 partition, and the partial states of a key are stitched where partitions meet.
 """
 
@@ -72,7 +72,7 @@ def _fold(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist([state.row(part)], schema=_PART)
 
 
-def key_stats(rows: DataFrame, fields: list[str], start: str, end: str, *, heavy_share: float = 0.05, partitions: int | None = None) -> DataFrame:
+def key_stats(rows: DataFrame, fields: list[str], start: str, end: str, *, ties: list[str] | None = None, heavy_share: float = 0.05, partitions: int | None = None) -> DataFrame:
     """(field_name, key_value, n, timed, total_us, min_us, max_us, first_start_us, last_start_us, widest_step_us, heavy).
 
     For each integer column in ``fields`` and each of its values: rows as
@@ -81,18 +81,23 @@ def key_stats(rows: DataFrame, fields: list[str], start: str, end: str, *, heavy
     to the next.  ``heavy`` marks values with at least ``heavy_share`` of all
     rows of the table, rows with a NULL value included in the total.
 
+    ``ties`` are integer columns that tell rows of one start apart, so that a
+    key whose rows have the same start, or none, can be split as well; rows that
+    agree in all of them stay together.  They do not change the result.
+
     Rows with a NULL value belong to no key.  NULL starts and ends count as rows
     without a time.  Repeated rows count each time.  An empty table gives no
     rows; other columns are not read.
     """
     one = lambda i, c: F.struct(F.lit(i).cast("bigint").alias("field"), F.col(c).cast("bigint").alias("key"))
     t, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
+    extra = {f"tie_{i}": F.col(c).cast("bigint") for i, c in enumerate(ties or [])}
     long = (
-        rows.select(F.explode(F.array(*[one(i, c) for i, c in enumerate(fields)])).alias("k"), F.coalesce(t, F.lit(NONE)).alias("t"), F.coalesce(F.when(e >= t, e - t), F.lit(NONE)).alias("d"))
-        .select("k.field", "k.key", "t", "d").where(F.col("key").isNotNull())
+        rows.select(*[c.alias(n) for n, c in extra.items()], F.explode(F.array(*[one(i, c) for i, c in enumerate(fields)])).alias("k"), F.coalesce(t, F.lit(NONE)).alias("t"), F.coalesce(F.when(e >= t, e - t), F.lit(NONE)).alias("d"))
+        .select("k.field", "k.key", "t", "d", *extra).where(F.col("key").isNotNull())
     )
     total = rows.count()
-    parts = walk(range_sorted(long, ["field", "key"], ["t"], partitions), _fold, _DDL)
+    parts = walk(range_sorted(long, ["field", "key"], ["t", *extra], partitions).select("field", "key", "t", "d"), _fold, _DDL)
     # A key has as many partial states as partitions hold it.
     edge = W.partitionBy("field", "key").orderBy("part")
     parts = parts.withColumn("step", F.col("first") - F.max("last").over(edge.rowsBetween(W.unboundedPreceding, -1)))
