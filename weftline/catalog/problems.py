@@ -45,7 +45,7 @@ def _references(spark: SparkSession, folder: str) -> DataFrame:
 
 def orphan_table(spark: SparkSession, folder: str) -> OrphanTable:
     """The run's references, probed against the parents that have arrived."""
-    return OrphanTable(spark, keep_references=False).advance(_references(spark, folder), _parents(spark, folder))
+    return OrphanTable(spark, keep_references=False, snapshot_every=0).advance(_references(spark, folder), _parents(spark, folder))
 
 
 def p3_increments(spark: SparkSession, folder: str) -> DataFrame:

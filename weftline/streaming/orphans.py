@@ -67,11 +67,14 @@ class OrphanTable:
     new references.  A parent that arrives twice is live once; deleting a key
     that is not live changes nothing.  Repeated references are one record.
 
+    ``buckets`` divide the state; an increment writes those anew that its keys
+    fall in, so a state of terabytes wants thousands.
+
     With ``keep_references`` False references are not kept by key: nothing is
     copied, and parents cannot be deleted.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, *, buckets: int = 64, keep_references: bool = True, snapshot_every: int = 1):
+    def __init__(self, spark: SparkSession, folder: str | None = None, *, buckets: int = 16, keep_references: bool = True, snapshot_every: int = 1):
         self.spark, self.folder = spark, Folder(spark, folder or scratch(spark, "orphans"))
         self.keep, self.every = keep_references, snapshot_every
         #: The last batch that counts, and the batch that last wrote each bucket.
@@ -82,9 +85,12 @@ class OrphanTable:
     def _bucketed(self, df: DataFrame) -> DataFrame:
         return df.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(self.state["buckets"])).cast("int"))
 
+    def _empty(self, schema: T.StructType) -> DataFrame:
+        """No rows, as a plan that joins with it are dropped for."""
+        return self.spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+
     def _keys(self, df: DataFrame | None) -> DataFrame:
-        empty = self.spark.createDataFrame([], PARENT)
-        return self._bucketed(empty if df is None else df.select(*[F.col(k).cast(t.dataType).alias(k) for k, t in zip(KEY, PARENT, strict=True)]).dropna().distinct())
+        return self._bucketed(self._empty(PARENT) if df is None else df.select(*[F.col(k).cast(t.dataType).alias(k) for k, t in zip(KEY, PARENT, strict=True)]).dropna().distinct())
 
     def _read(self, kind: str, buckets: set[int] | None = None, state: dict | None = None) -> DataFrame:
         """Rows of some or all buckets."""
@@ -94,7 +100,7 @@ class OrphanTable:
         else:
             paths = [self.folder.at(f"{kind}/{v}/bucket={b}") for b, v in state[kind].items() if buckets is None or int(b) in buckets]
         if not paths:
-            return self._bucketed(self.spark.createDataFrame([], _SCHEMAS[kind]))
+            return self._bucketed(self._empty(_SCHEMAS[kind]))
         if kind != "references":
             return self._bucketed(self.spark.read.schema(_SCHEMAS[kind]).parquet(*paths))
         rows = [self.spark.read.schema(T.StructType([*_SCHEMAS[kind], T.StructField("bucket", T.IntegerType())])).parquet(p) for p in paths]
@@ -170,7 +176,7 @@ class OrphanTable:
         """The counts after each increment, with its number as ``batch``."""
         paths = [self.folder.at(f"counts/{n}") for n in self.folder.names("counts") if n.isdigit() and int(n) <= self.state["batch"]]
         schema = "table_name string, field_name string, period bigint, orphans bigint, keys bigint, batch bigint"
-        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self._empty(T.StructType.fromDDL(schema))
 
     def follow(self, stream: DataFrame, kind: str = "kind"):
         """A started-on-demand writer that advances by micro-batches, each of them once.
