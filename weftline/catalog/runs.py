@@ -16,11 +16,11 @@ from weftline.operators.noise import NoiseMiner, assign_clusters, execution_cand
 from weftline.operators.rebuild import step_attribution
 from weftline.operators.spans import bin_spans, clipped_spans, entry_spans, idle_spans, message_latency, message_spans
 from weftline.sources.dataset import TraceDataset
+from weftline.sources.schemas import SCHEMAS
 
 BIN = 1_000_000
-#: A window inside the run at every test size; the queries named ``..._run`` take the whole run.
+#: A window inside the run at every test size, for the queries whose feature is the window: filters and clipping.  All others take the whole run.
 PART = (500_000, 2_000_000)
-POINTS = [250_000.0 * k for k in range(1, 9)]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -45,17 +45,14 @@ def _events(method: str, *columns: str) -> Query:
 
 
 SPAN = ["pe_id", "event", "ep_id", "start_time_us", "end_time_us", "ep_name", "collection_id", "chare_name"]
-EXEC = ["pe_id", "event", "ep_id", "src_pe", "msg_idx", "msg_len", "start_time_us", "recv_time_us", "start_cpu_us", "end_time_us", "end_cpu_us", "papi_begin_0", "papi_end_1", "papi_begin_2", "wall_duration_us", "cpu_duration_us", "queue_wait_us", "papi_delta_0"]
+EXEC = [f.name for f in SCHEMAS["execution"]]
 MIGRATION = ["migration_id", "instance_id", "collection_id", "src_pe", "dst_pe", "last_exec_end_src_us", "first_exec_start_dst_us", "gap_us", "migration_seq"]
 MESSAGE = ["message_id", "src_pe", "event", "ep_id", "msg_idx", "msg_len", "send_time_us", "enqueue_time_us", "is_broadcast", "broadcast_fanout", "dst_pe", "recv_time_us", "exec_start_time_us", "end_to_end_us"]
 
 QUERIES: dict[str, Query] = {
-    "entry_spans": on(lambda ds: entry_spans(ds, window=PART).select(*SPAN)),
-    "idle_spans": on(lambda ds: idle_spans(ds, [0, 1, 2, 3], PART)),
-    "message_spans": on(lambda ds: message_spans(ds, window=PART).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
-    "idle_spans_run": on(idle_spans),
-    "entry_spans_run": on(lambda ds: entry_spans(ds).select(*SPAN)),
-    "message_spans_run": on(lambda ds: message_spans(ds).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
+    "idle_spans": on(idle_spans),
+    "entry_spans": on(lambda ds: entry_spans(ds).select(*SPAN)),
+    "message_spans": on(lambda ds: message_spans(ds).select("message_id", "src_pe", "ep_id", "send_time_us", "target_ep_name")),
     "message_latency": on(lambda ds: message_latency(ds).select("message_id", "send_to_enqueue_us", "enqueue_to_exec_us", "end_to_end_us")),
     "span_overlap_filter": on(lambda ds: select_rows(ds.execution, [0, 5, 17], PART).select("pe_id", "event", "start_time_us", "end_time_us")),
     "point_filter": on(lambda ds: select_rows(ds.message, None, PART, "src_pe", "send_time_us", None).select("message_id", "send_time_us")),
@@ -69,8 +66,7 @@ QUERIES: dict[str, Query] = {
     "chare_activity_frequency": on(lambda ds: M.chare_activity_matrix(ds, metric="frequency")),
     "pe_load_by_bin": on(lambda ds: M.pe_load_by_bin(ds, BIN)),
     "percent_imbalance_by_bin": on(lambda ds: rounded(M.percent_imbalance_by_bin(ds, BIN), "mean_load_us", "percent_imbalance")),
-    "cumulative_imbalance": on(lambda ds: rounded(M.cumulative_imbalance(ds, window=PART, time_points_us=POINTS), "mean_load_us", "percent_imbalance")),
-    "cumulative_imbalance_run": on(lambda ds: rounded(M.cumulative_imbalance(ds), "mean_load_us", "percent_imbalance")),
+    "cumulative_imbalance": on(lambda ds: rounded(rounded(M.cumulative_imbalance(ds), "mean_load_us", digits=-3), "time_point_us", "percent_imbalance")),  # loads of 1e16
     "chare_load_by_bin": on(lambda ds: M.chare_load_by_bin(ds, BIN)),
     "per_pe_utilization": on(lambda ds: rounded(M.per_pe_utilization(ds), "utilization", "idle_fraction")),
     "per_interval_utilization": on(lambda ds: rounded(M.per_interval_utilization(ds, BIN), "utilization")),
@@ -79,14 +75,10 @@ QUERIES: dict[str, Query] = {
     "time_profile_pct": on(lambda ds: rounded(P.time_profile(ds, BIN, as_percentage=True, top_n=5), "value", digits=8)),
     "usage_profile": on(lambda ds: rounded(P.usage_profile(ds), "value")),
     "usage_profile_pct": on(lambda ds: rounded(P.usage_profile(ds, as_percentage=True, top_n=5), "value")),
-    "ep_profile": on(lambda ds: rounded(P.ep_profile(ds, window=PART), "pct")),
-    "ep_profile_run": on(lambda ds: rounded(P.ep_profile(ds), "pct")),
-    "exec_time_histogram": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART), "low", "high")),
-    "exec_time_histogram_log": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART, log=True), "low", "high")),
-    "exec_time_histogram_run": on(lambda ds: rounded(P.execution_time_histogram(ds), "low", "high")),
-    "exec_time_histogram_log_run": on(lambda ds: rounded(P.execution_time_histogram(ds, log=True), "low", "high")),
-    "exec_time_accumulated": on(lambda ds: rounded(P.execution_time_histogram(ds, window=PART, ep_ids=[0, 1, 2], accumulated=True), "low", "high", "accumulated_ms")),
-    "exec_time_accumulated_run": on(lambda ds: rounded(P.execution_time_histogram(ds, accumulated=True), "low", "high", "accumulated_ms")),
+    "ep_profile": on(lambda ds: rounded(P.ep_profile(ds), "pct")),
+    "exec_time_histogram": on(lambda ds: rounded(P.execution_time_histogram(ds), "low", "high", digits=2)),
+    "exec_time_histogram_log": on(lambda ds: rounded(P.execution_time_histogram(ds, log=True), "low", "high", digits=2)),
+    "exec_time_accumulated": on(lambda ds: rounded(rounded(P.execution_time_histogram(ds, accumulated=True), "low", "high", digits=2), "accumulated_ms", digits=-3)),  # sums of 1e15
     "message_size_histogram": on(lambda ds: rounded(P.message_size_histogram(ds), "low", "high")),
     **{f"comm_{m}": on(lambda ds, m=m: P.comm_per_pe(ds, m)) for m in ("sent_msgs", "sent_bytes", "recv_msgs", "recv_bytes")},
     **{f"extrema_{a}": on(lambda ds, a=a: rounded(P.extrema_analysis(ds, a), "value")) for a in P.EXTREMA},
@@ -107,17 +99,20 @@ QUERIES: dict[str, Query] = {
     "activity_heatmap": on(P.activity_heatmap),
     "dominant_chare": on(lambda ds: P.dominant_chare(ds, BIN)),
     "dominant_chare_top": on(lambda ds: P.dominant_chare(ds, BIN, top_n=3)),
+    "timeline_with_imbalance": on(lambda ds: rounded(P.timeline_with_imbalance(ds, BIN), "percent_imbalance")),
+    "rebuild_processing_element": lambda s, d: A.rebuilt_elements(s, d),
+    "convert_execution": lambda s, d: A.converted(s, d).execution.select(*EXEC),
     "rebuild_execution": lambda s, d: A.rebuilt(s, d).execution().select(*EXEC),
-    "rebuild_chare_instance_run": lambda s, d: A.rebuilt(s, d).chare_instance().select("instance_id", "collection_id", "index_0"),
-    "rebuild_message_run": lambda s, d: A.rebuilt(s, d).message().select(*MESSAGE),
-    "rebuild_chare_instance": lambda s, d: A.rebuilt(s, d, ended_only=True).chare_instance().select("instance_id", "collection_id", "index_0"),
-    "rebuild_message": lambda s, d: A.rebuilt(s, d, ended_only=True).message().select(*MESSAGE),
+    "rebuild_chare_instance": lambda s, d: A.rebuilt(s, d).chare_instance().select(*[f.name for f in SCHEMAS["chare_instance"]]),
+    "rebuild_message": lambda s, d: A.rebuilt(s, d).message().select(*MESSAGE),
     "migration_episode": lambda s, d: A.episodes(s, d).select(*MIGRATION),
     "idle_slot": _events("idle_interval", "pe_id", "start_time_us", "end_time_us", "duration_us"),
     "pair_toggle": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 100").select("pe_id", "user_event_id", "name", "event", "nested_id", "start_time_us", "end_time_us", "duration_us"),
     "pair_brackets": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type IN (98, 99)").select("pe_id", "record_type", "user_event_id", "event", "nested_id", "start_time_us", "end_time_us"),
     "user_event_points": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 13").select("pe_id", "user_event_id", "name", "event", "start_time_us", "end_time_us"),
     "user_event_notes": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 28").select("pe_id", "start_time_us", "note"),
+    "user_event_supplied": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 26").select("pe_id", "user_event_id", "name", "event", "start_time_us", "end_time_us", "user_supplied_int", "note"),
+    "user_event_bracketed_notes": lambda s, d: A.rebuilt_events(s, d).user_event().where("record_type = 29").select("pe_id", "event", "start_time_us", "end_time_us", "duration_us", "note"),
     "rebuild_user_stat": _events("user_stat", "pe_id", "stat_id", "name", "time_us", "stat_value", "user_time_s"),
     "rebuild_memory_sample": _events("memory_sample", "pe_id", "time_us", "bytes"),
     "rebuild_steps": _events("simulation_step", "step_id", "pe_id", "start_time_us", "end_time_us", "global_start_time_us", "global_end_time_us", "pe_count"),

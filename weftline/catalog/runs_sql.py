@@ -65,14 +65,14 @@ rows AS (SELECT * FROM folded UNION ALL SELECT pe_id, NULL, 'Idle', sum(clipped_
 SELECT *, round({value}, 6) AS value FROM rows"""
 
 
-def _histogram(values: str, n: int, log: bool = False, extra: str = "") -> str:
+def _histogram(values: str, n: int, log: bool = False, extra: str = "", digits: int = 6) -> str:
     v = "log10(v)" if log else "v"
     low, high = ("pow(10, lo + bin * width)", "pow(10, lo + (bin + 1) * width)") if log else ("lo + bin * width", "lo + (bin + 1) * width")
     return f"""vals AS (SELECT {v} AS v FROM ({values}) WHERE v IS NOT NULL {'AND v > 0' if log else ''}),
 ends AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / {n} AS width FROM vals),
 slots AS (SELECT least(floor((v - lo) / width), {n - 1})::INTEGER AS bin, count(*) AS c FROM vals, ends GROUP BY 1),
 bins AS (SELECT unnest(range(0, {n}))::INTEGER AS bin)
-SELECT bin, round({low}, 6) AS low, round({high}, 6) AS high, coalesce(c, 0)::BIGINT AS count{extra} FROM bins CROSS JOIN ends LEFT JOIN slots USING (bin)"""
+SELECT bin, round({low}, {digits}) AS low, round({high}, {digits}) AS high, coalesce(c, 0)::BIGINT AS count{extra} FROM bins CROSS JOIN ends LEFT JOIN slots USING (bin)"""
 
 
 _NOISE = f"""{_SPANS}, {_IDLE},
@@ -119,17 +119,16 @@ bracketed AS (
   SELECT pe_id, 98 AS record_type, id AS user_event_id, event, nested AS nested_id, s AS start_time_us, CASE WHEN NOT nb THEN ns END AS end_time_us FROM ok WHERE b
   UNION ALL SELECT pe_id, 99, id, event, nested, s, NULL FROM lev WHERE lost
 )"""
+_PAPI = ", ".join(
+    f"{f'papi_{part}_{i}' if part != 'delta' else f'papi_end_{i} - papi_begin_{i}'} AS papi_{part}_{i}" if i < 2 else f"NULL::BIGINT AS papi_{part}_{i}" for part in ("begin", "end", "delta") for i in range(6)
+)
 _RUNS = """runs AS (
   SELECT pe_id, event, max(instance_id) AS instance_id, max(ep_id) AS ep_id, max(src_pe) AS src_pe, max(msg_idx) AS msg_idx, max(msg_len) AS msg_len, max(start_time_us) AS start_time_us,
     CASE WHEN max(recv_time_us) <> -1 THEN max(recv_time_us) END AS recv_time_us, max(start_cpu_us) AS start_cpu_us, max(end_time_us) AS end_time_us, coalesce(max(end_cpu_us), 0) AS end_cpu_us,
-    coalesce(max(papi_begin_0), 0) AS papi_begin_0, coalesce(max(papi_end_0), 0) AS papi_end_0, coalesce(max(papi_end_1), 0) AS papi_end_1
-  FROM execution GROUP BY pe_id, event HAVING max(end_time_us) IS NOT NULL
+    coalesce(max(papi_begin_0), 0) AS papi_begin_0, coalesce(max(papi_end_0), 0) AS papi_end_0, coalesce(max(papi_end_1), 0) AS papi_end_1, coalesce(max(papi_begin_1), 0) AS papi_begin_1
+  FROM execution GROUP BY pe_id, event
 ), methods AS (SELECT ep_id, max(collection_id) AS collection_id FROM entry_method GROUP BY ep_id),
-keyed AS (SELECT r.*, coalesce(m.collection_id, (SELECT collection_id FROM entry_method ORDER BY ep_id, name LIMIT 1)) AS collection_id, coalesce(instance_id, 0)::INTEGER AS index_0 FROM runs r LEFT JOIN methods m USING (ep_id))"""
-
-#: With executions that never end.
-_BEGUN = _RUNS.replace(" HAVING max(end_time_us) IS NOT NULL", "")
-
+keyed AS (SELECT r.*, m.collection_id AS known, coalesce(m.collection_id, (SELECT collection_id FROM entry_method ORDER BY ep_id, name LIMIT 1)) AS collection_id, coalesce(instance_id, 0)::INTEGER AS index_0 FROM runs r LEFT JOIN methods m USING (ep_id))"""
 
 def _comm(pe: str, time: str, value: str) -> str:
     return f"WITH {_W} SELECT {pe} AS pe_id, {value}::BIGINT AS value FROM message, w WHERE {pe} IS NOT NULL AND {time} >= t0 AND {time} < t1 GROUP BY 1"
@@ -164,12 +163,9 @@ UNION ALL SELECT NULL, 'Other', sum(total_us)::BIGINT, round(sum(total_us) * 100
 _IMBALANCE = "CASE WHEN mean > 0 THEN (most / mean - 1) * 100 ELSE 0.0 END"
 
 SQL = {
-    "entry_spans": f"{_PART} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM spans",
-    "idle_spans": f"SELECT * FROM idle_interval WHERE pe_id IN (0, 1, 2, 3) AND start_time_us < {T1} AND (end_time_us IS NULL OR end_time_us > {T0})",
-    "message_spans": f"SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id WHERE send_time_us >= {T0} AND send_time_us < {T1}",
-    "idle_spans_run": "SELECT * FROM idle_interval",
-    "entry_spans_run": f"{_SPANS} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM named",
-    "message_spans_run": "SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id",
+    "idle_spans": "SELECT * FROM idle_interval",
+    "entry_spans": f"{_SPANS} SELECT pe_id, event, ep_id, start_time_us, end_time_us, ep_name, collection_id, chare_name FROM named",
+    "message_spans": "SELECT message_id, src_pe, m.ep_id, send_time_us, e.name AS target_ep_name FROM message m LEFT JOIN entry_method e ON e.ep_id = m.ep_id",
     "message_latency": "SELECT message_id, enqueue_time_us - send_time_us AS send_to_enqueue_us, exec_start_time_us - enqueue_time_us AS enqueue_to_exec_us, exec_start_time_us - send_time_us AS end_to_end_us FROM message LEFT JOIN entry_method USING (ep_id)",
     "span_overlap_filter": f"SELECT pe_id, event, start_time_us, end_time_us FROM execution WHERE pe_id IN (0, 5, 17) AND start_time_us < {T1} AND (end_time_us IS NULL OR end_time_us > {T0})",
     "point_filter": f"SELECT message_id, send_time_us FROM message WHERE send_time_us >= {T0} AND send_time_us < {T1}",
@@ -183,15 +179,11 @@ SQL = {
     "chare_activity_frequency": f"{_SPANS} SELECT pe_id, chare_name, count(*) AS activity FROM spans GROUP BY ALL",
     "pe_load_by_bin": f"{_LOAD} SELECT * FROM filled",
     "percent_imbalance_by_bin": f"{_LOAD}, m AS (SELECT bin_start, max(load_us) AS most, avg(load_us) AS mean FROM filled GROUP BY 1) SELECT bin_start, most AS max_load_us, round(mean, 6) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m",
-    "cumulative_imbalance": f"""{_PART}, points AS (SELECT unnest([{', '.join(f'{250_000.0 * k}::DOUBLE' for k in range(1, 9))}]) AS p),
-loads AS (SELECT p, pe_id % 4 AS node, sum(wall_duration_us) AS load FROM points JOIN spans ON start_time_us < p GROUP BY ALL),
-m AS (SELECT p, max(load)::BIGINT AS most, avg(load) AS mean FROM points LEFT JOIN loads USING (p) GROUP BY p)
-SELECT p AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coalesce(mean, 0), 6) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m""",
-    "cumulative_imbalance_run": f"""{_SPANS}, ends AS (SELECT min(start_time_us) AS lo, max(start_time_us) AS hi FROM named),
+    "cumulative_imbalance": f"""{_SPANS}, ends AS (SELECT min(start_time_us) AS lo, max(start_time_us) AS hi FROM named),
 points AS (SELECT lo + i * ((hi - lo)::DOUBLE / 99) AS p FROM ends, range(1, 100) g(i)),
 loads AS (SELECT p, pe_id % 4 AS node, sum(wall_duration_us) AS load FROM points JOIN named ON start_time_us < p GROUP BY ALL),
 m AS (SELECT p, max(load)::BIGINT AS most, avg(load) AS mean FROM points LEFT JOIN loads USING (p) GROUP BY p)
-SELECT p AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coalesce(mean, 0), 6) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m""",
+SELECT round(p, 6) AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coalesce(mean, 0), -3) AS mean_load_us, round({_IMBALANCE}, 6) AS percent_imbalance FROM m""",
     "chare_load_by_bin": f"{_BINS} SELECT pe_id, bin_start, chare_name, sum(part)::BIGINT AS load_us FROM binned GROUP BY ALL",
     "per_pe_utilization": f"{_UTIL} SELECT pe_id, busy_time_us, idle_time_us, window_us, overhead_us, round(utilization, 6) AS utilization, round(idle_fraction, 6) AS idle_fraction FROM util",
     "per_interval_utilization": f"{_BINS} SELECT pe_id, bin_start, sum(part)::BIGINT AS busy_us, round(least(sum(part) / {BIN}.0::DOUBLE, 1.0), 6) AS utilization FROM binned GROUP BY ALL",
@@ -200,18 +192,10 @@ SELECT p AS time_point_us, coalesce(most, 0)::BIGINT AS max_load_us, round(coale
     "time_profile_pct": _time_profile(f"total_us * 100.0::DOUBLE / (48 * {BIN})", 5, 8),
     "usage_profile": _usage("total_us / 1000.0::DOUBLE", 15),
     "usage_profile_pct": _usage("total_us * 100.0::DOUBLE / CASE WHEN sum(total_us) OVER (PARTITION BY pe_id) = 0 THEN 1 ELSE sum(total_us) OVER (PARTITION BY pe_id) END", 5),
-    "ep_profile": f"""{_PART}, totals AS (SELECT ep_id, ep_name, coalesce(sum(wall_duration_us), 0)::BIGINT AS total_us FROM spans GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (ORDER BY total_us DESC, ep_id, ep_name NULLS FIRST) AS r, sum(total_us) OVER () AS everything FROM totals),
-shown AS (SELECT *, total_us >= everything * 1.0::DOUBLE / 100 AND r <= 12 AS shown FROM ranked)
-SELECT ep_id, ep_name AS label, total_us, round(total_us * 100.0::DOUBLE / everything, 6) AS pct FROM shown WHERE shown
-UNION ALL SELECT NULL, 'Other', sum(total_us)::BIGINT, round(sum(total_us) * 100.0::DOUBLE / max(everything), 6) FROM shown WHERE NOT shown HAVING sum(total_us) > 0""",
-    "ep_profile_run": f"{_SPANS}, {_EP_PROFILE}",
-    "exec_time_histogram": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50)}",
-    "exec_time_histogram_log": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True)}",
-    "exec_time_histogram_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50)}",
-    "exec_time_histogram_log_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True)}",
-    "exec_time_accumulated": f"{_PART}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans WHERE ep_id IN (0, 1, 2)', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, 6) AS accumulated_ms')}",
-    "exec_time_accumulated_run": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, 6) AS accumulated_ms')}",
+    "ep_profile": f"{_SPANS}, {_EP_PROFILE}",
+    "exec_time_histogram": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50, digits=2)}",
+    "exec_time_histogram_log": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 49, True, digits=2)}",
+    "exec_time_accumulated": f"{_SPANS}, {_histogram('SELECT wall_duration_us / 1000.0::DOUBLE AS v FROM spans', 50, extra=', round(coalesce(c, 0) * (lo + bin * width + lo + (bin + 1) * width) / 2, -3) AS accumulated_ms', digits=2)}",
     "message_size_histogram": f"WITH {_W}, {_histogram('SELECT msg_len::DOUBLE AS v FROM message, w WHERE send_time_us >= t0 AND send_time_us < t1', 49, True)}",
     "comm_sent_msgs": _comm("src_pe", "send_time_us", "count(*)"),
     "comm_sent_bytes": _comm("src_pe", "send_time_us", "sum(msg_len)"),
@@ -242,9 +226,16 @@ FROM assigned, w WHERE cluster_id IN (SELECT cluster_id FROM kept) GROUP BY ALL"
 SELECT p.pe_id, r.chare_name, coalesce(e.a, 0)::BIGINT AS activity, r.position FROM (SELECT DISTINCT pe_id FROM each) p CROSS JOIN ranked r LEFT JOIN each e ON e.pe_id = p.pe_id AND e.chare_name IS NOT DISTINCT FROM r.chare_name""",
     "dominant_chare": _dominant("true"),
     "dominant_chare_top": _dominant("chare_name IN (SELECT chare_name FROM best WHERE r <= 3)"),
-    "rebuild_execution": f"""WITH {_RUNS} SELECT pe_id, event, ep_id, src_pe, msg_idx, msg_len, start_time_us, recv_time_us, start_cpu_us, end_time_us, end_cpu_us, papi_begin_0, papi_end_1, NULL::BIGINT AS papi_begin_2,
-  end_time_us - start_time_us AS wall_duration_us, end_cpu_us - start_cpu_us AS cpu_duration_us, start_time_us - recv_time_us AS queue_wait_us, papi_end_0 - papi_begin_0 AS papi_delta_0 FROM runs""",
-    "rebuild_chare_instance": f"WITH {_RUNS}, firsts AS (SELECT collection_id, index_0, min((pe_id, event)) AS seen FROM keyed GROUP BY ALL) SELECT row_number() OVER (ORDER BY seen) AS instance_id, collection_id, index_0 FROM firsts",
+    "rebuild_execution": f"""WITH {_RUNS}, ids AS (SELECT collection_id, index_0, row_number() OVER (ORDER BY min((pe_id, event))) AS instance_id FROM keyed GROUP BY ALL)
+SELECT pe_id, event, i.instance_id, ep_id, src_pe, msg_idx, msg_len, start_time_us, recv_time_us, start_cpu_us, end_time_us, end_cpu_us, {_PAPI}, end_time_us - start_time_us AS wall_duration_us,
+  end_cpu_us - start_cpu_us AS cpu_duration_us, start_time_us - recv_time_us AS queue_wait_us
+FROM keyed k LEFT JOIN ids i ON i.collection_id = coalesce(k.known, 0) AND i.index_0 = k.index_0 WHERE end_time_us IS NOT NULL""",
+    "rebuild_chare_instance": f"""WITH {_RUNS}, firsts AS (SELECT collection_id, index_0, min((pe_id, event)) AS seen FROM keyed GROUP BY ALL)
+SELECT row_number() OVER (ORDER BY seen) AS instance_id, collection_id, index_0, 0 AS index_1, 0 AS index_2, 0 AS index_3, 0 AS index_4, 0 AS index_5 FROM firsts""",
+    "rebuild_processing_element": """WITH g AS (SELECT coalesce(min(global_start_us), 0) AS g FROM processing_element)
+SELECT pe_id, 48 AS total_pes, begin_time_us, end_time_us, g AS global_start_us, end_time_us + g - begin_time_us AS computation_duration_us, begin_time_us - g AS aligned_begin_us FROM processing_element, g""",
+    "user_event_supplied": f"WITH {_EVENTS} SELECT pe_id, NULL::INTEGER AS user_event_id, NULL::VARCHAR AS name, NULL::INTEGER AS event, s AS start_time_us, NULL::BIGINT AS end_time_us, k::INTEGER AS user_supplied_int, NULL::VARCHAR AS note FROM ev",
+    "user_event_bracketed_notes": f"WITH {_EVENTS} SELECT pe_id, event, s AS start_time_us, e AS end_time_us, e - s AS duration_us, 'ü ' || name AS note FROM ev",
     "rebuild_message": f"""WITH {_RUNS}, one AS (
   SELECT message_id, max(src_pe) AS src_pe, max(event) AS event, max(ep_id) AS ep_id, max(msg_idx) AS msg_idx, max(msg_len) AS msg_len, max(send_time_us) AS send_time_us, max(enqueue_time_us) AS enqueue_time_us,
     max(is_broadcast) AS is_broadcast, max(broadcast_fanout) AS broadcast_fanout FROM message GROUP BY message_id
@@ -278,4 +269,5 @@ SELECT *, min(start_time_us) OVER (PARTITION BY step_id) AS global_start_time_us
     "pe_balance": "SELECT max(t)::BIGINT AS most_us, round(max(t) / avg(t), 6) AS balance FROM (SELECT sum(wall_duration_us) AS t FROM execution GROUP BY pe_id)",
     "pe_summary": "SELECT pe_id, sum(wall_duration_us)::BIGINT AS total_us, count(*) AS n, round(avg(wall_duration_us), 6) AS mean_us FROM execution GROUP BY 1",
 }
-SQL |= {f"{name}_run": SQL[name].replace(_RUNS, _BEGUN) for name in ("rebuild_chare_instance", "rebuild_message")}
+SQL["convert_execution"] = SQL["rebuild_execution"]
+SQL["timeline_with_imbalance"] = f"""SELECT d.*, i.percent_imbalance, i.max_load_us FROM ({SQL['dominant_chare']}) d JOIN ({SQL['percent_imbalance_by_bin']}) i USING (bin_start)"""

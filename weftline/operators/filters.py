@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from weftline.functions.spans import begins_in, overlaps
 
 
+def distinct_pes(pes: Iterable[int] | None) -> list[int] | None:
+    """The PEs, each once, read once from whatever gives them; None is all."""
+    return None if pes is None else sorted({int(p) for p in pes})
+
+
 def by_pe(df: DataFrame, pes: Iterable[int] | None, column: str = "pe_id") -> DataFrame:
     """Rows of the given PEs; None keeps all, an empty list none."""
-    return df if pes is None else df.where(F.col(column).isin([int(p) for p in set(pes)]))
+    return df if pes is None else df.where(F.col(column).isin(distinct_pes(pes)))
 
 
 def by_time(df: DataFrame, window: tuple[int, int] | None, start: str = "start_time_us", end: str | None = "end_time_us") -> DataFrame:

@@ -1,4 +1,8 @@
-"""Load, utilisation and imbalance."""
+"""Load, utilisation and imbalance.
+
+Results come sorted; the planner drops the sort where a result is aggregated or
+joined further.
+"""
 
 from __future__ import annotations
 
@@ -7,16 +11,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.spans import clipped, imbalance, whole
+from weftline.operators.filters import distinct_pes
 from weftline.operators.spans import Pes, Window, bin_spans, clipped_spans, entry_spans, idle_spans, pe_values
 from weftline.sources.dataset import TraceDataset
 
 
 def chare_duration_totals(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
-    return clipped_spans(ds, pes, window).groupBy("chare_name").agg(whole(F.sum("clipped_us")).alias("total_duration_us"))
+    return clipped_spans(ds, pes, window).groupBy("chare_name").agg(whole(F.sum("clipped_us")).alias("total_duration_us")).orderBy(F.desc("total_duration_us"), "chare_name")
 
 
 def chare_frequency_counts(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
-    return entry_spans(ds, pes, window).groupBy("chare_name").agg(F.count(F.lit(1)).alias("execution_count"))
+    return entry_spans(ds, pes, window).groupBy("chare_name").agg(F.count(F.lit(1)).alias("execution_count")).orderBy(F.desc("execution_count"), "chare_name")
 
 
 def chare_activity_matrix(ds: TraceDataset, pes: Pes = None, window: Window = None, metric: str = "duration") -> DataFrame:
@@ -24,23 +29,23 @@ def chare_activity_matrix(ds: TraceDataset, pes: Pes = None, window: Window = No
     if metric not in ("duration", "frequency"):
         raise ValueError("metric must be 'duration' or 'frequency'")
     value = whole(F.sum("clipped_us")) if metric == "duration" else F.count(F.lit(1))
-    return clipped_spans(ds, pes, window).groupBy("pe_id", "chare_name").agg(value.alias("activity"))
+    return clipped_spans(ds, pes, window).groupBy("pe_id", "chare_name").agg(value.alias("activity")).orderBy("pe_id", "chare_name")
 
 
 def pe_load_by_bin(ds: TraceDataset, width_us: int, pes: Pes = None, window: Window = None) -> DataFrame:
     """Busy time of every PE in every bin, 0 where it has none."""
-    w = ds.window(window)
+    w, pes = ds.window(window), distinct_pes(pes)
     loads = bin_spans(entry_spans(ds, pes, w), width_us, w).groupBy("pe_id", "bin_start").agg(F.sum("bin_contribution_us").alias("load_us"))
     # Scaffold: PEs times bins, the size of the result itself.
     n = max(1, -(-(w[1] - w[0]) // width_us))
     bins = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
     frame = pe_values(ds, pes).select("pe_id", bins.alias("b")).select("pe_id", (F.col("b") * width_us + w[0]).alias("bin_start"))
-    return frame.join(loads, ["pe_id", "bin_start"], "left").select("pe_id", "bin_start", whole(F.col("load_us")).alias("load_us"))
+    return frame.join(loads, ["pe_id", "bin_start"], "left").select("pe_id", "bin_start", whole(F.col("load_us")).alias("load_us")).orderBy("pe_id", "bin_start")
 
 
 def percent_imbalance_by_bin(ds: TraceDataset, width_us: int, pes: Pes = None, window: Window = None) -> DataFrame:
     loads = pe_load_by_bin(ds, width_us, pes, window).groupBy("bin_start").agg(F.max("load_us").alias("max_load_us"), F.avg("load_us").alias("mean_load_us"))
-    return loads.withColumn("percent_imbalance", imbalance("max_load_us", "mean_load_us"))
+    return loads.withColumn("percent_imbalance", imbalance("max_load_us", "mean_load_us")).orderBy("bin_start")
 
 
 def cumulative_imbalance(ds: TraceDataset, pes: Pes = None, window: Window = None, *, points: int = 100, time_points_us: list[float] | None = None, nodes: int = 4) -> DataFrame:
@@ -67,25 +72,27 @@ def cumulative_imbalance(ds: TraceDataset, pes: Pes = None, window: Window = Non
     order = sorted(range(len(at)), key=lambda i: at[i])
     listed = ds.spark.createDataFrame([(k, at[i]) for k, i in enumerate(order)], "k int, time_point_us double")
     bounds = F.lit(sorted(at)) if at else F.array().cast("array<double>")
-    first = F.size(F.filter(bounds, lambda p: p <= F.col("start_time_us"))) if at else F.lit(0)
+    # How many points lie at or before the start, by halving: from the highest power of two down, a step is taken where the point there is no later.
+    halves = F.lit([1 << b for b in reversed(range(len(at).bit_length()))] or [1])
+    first = F.aggregate(halves, F.lit(0), lambda k, b: F.when((k + b <= len(at)) & (F.get(bounds, k + b - 1) <= F.col("start_time_us")), k + b).otherwise(k))
     loads = spans.withColumn("node", F.col("pe_id") % nodes).withColumn("k", first).where(F.col("k") < len(at)).groupBy("k", "node").agg(whole(F.sum("wall_duration_us")).alias("load"))
     present = loads.select("node").distinct()
     frame = listed.withColumn("_", F.lit(0)).join(F.broadcast(present.withColumn("_", F.lit(0))), "_").drop("_")
     running = W.partitionBy("node").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     of_node = frame.join(loads, ["k", "node"], "left").withColumn("load", F.sum("load").over(running))
-    of_point = of_node.groupBy("k").agg(F.max("load").alias("max_load_us"), F.avg("load").alias("mean_load_us"))
+    of_point = of_node.groupBy("k").agg(F.max("load").alias("max_load_us"), F.try_divide(F.sum("load"), F.count("load")).alias("mean_load_us"))
     joined = listed.join(of_point, "k", "left").withColumn("percent_imbalance", imbalance("max_load_us", "mean_load_us"))
-    return joined.select("time_point_us", whole(F.col("max_load_us")).alias("max_load_us"), F.coalesce("mean_load_us", F.lit(0.0)).alias("mean_load_us"), "percent_imbalance")
+    return joined.select("time_point_us", whole(F.col("max_load_us")).alias("max_load_us"), F.coalesce("mean_load_us", F.lit(0.0)).alias("mean_load_us"), "percent_imbalance").orderBy("time_point_us")
 
 
 def chare_load_by_bin(ds: TraceDataset, width_us: int, pes: Pes = None, window: Window = None) -> DataFrame:
     w = ds.window(window)
-    return bin_spans(entry_spans(ds, pes, w), width_us, w).groupBy("pe_id", "bin_start", "chare_name").agg(whole(F.sum("bin_contribution_us")).alias("load_us"))
+    return bin_spans(entry_spans(ds, pes, w), width_us, w).groupBy("pe_id", "bin_start", "chare_name").agg(whole(F.sum("bin_contribution_us")).alias("load_us")).orderBy("pe_id", "bin_start", F.desc("load_us"), "chare_name")
 
 
 def per_pe_utilization(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
     """Busy, idle and other time of every PE; the three add up to the window."""
-    w = ds.window(window)
+    w, pes = ds.window(window), distinct_pes(pes)
     if w[1] <= w[0]:
         raise ValueError(f"the window {w} is empty")
     length = F.lit(w[1] - w[0]).cast("bigint")

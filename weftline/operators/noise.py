@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.spans import whole
+from weftline.operators.filters import distinct_pes
 from weftline.operators.spans import Pes, Window, entry_spans, idle_spans
 from weftline.plans.shape import broadcast_within, cut
 from weftline.sources.dataset import TraceDataset
@@ -55,19 +58,24 @@ def assign_clusters(bins: DataFrame, width_us: int, merge_threshold: float) -> D
     middle is at most ``1 + merge_threshold`` times the middle of the cluster's
     first bin.  Ids count on from kind to kind.
     """
-    bins = cut(bins)
-    middle = lambda b: (b + F.lit(0.5)) * F.lit(float(width_us))
-    start = F.array().cast("array<bigint>")
 
-    def step(firsts: Column, b: Column) -> Column:
-        last = F.try_element_at(firsts, F.lit(-1))
-        fresh = last.isNull() | (middle(b) > middle(last) * F.lit(1 + merge_threshold))
-        return F.when(fresh, F.concat(firsts, F.array(b))).otherwise(firsts)
+    def walk(own: pd.DataFrame) -> pd.DataFrame:
+        """The first bins of a kind's clusters: one search each, in the sorted bins."""
+        at = np.unique(own["bin_idx"].to_numpy(np.int64))
+        middles = (at + 0.5) * float(width_us)
+        firsts, k = [], 0
+        while k < len(at):
+            firsts.append(at[k])
+            k = int(np.searchsorted(middles, middles[k] * (1 + merge_threshold), "right"))
+        return pd.DataFrame({"kind": own["kind"].iloc[0], "first": np.array(firsts, np.int64)})
 
-    # Clusters widen with their distance from 0, so there are few first bins whatever the number of bins.
-    firsts = bins.groupBy("kind").agg(F.array_sort(F.collect_set("bin_idx")).alias("b")).select("kind", F.aggregate("b", start, step).alias("firsts"))
+    bins = cut(bins)
+    # Two kinds, and of each the distinct bins only: no more than the window has widths.
+    firsts = bins.groupBy("kind").applyInPandas(walk, "kind string, first bigint")
+    # Clusters widen with their distance from 0, so there are few of them whatever the number of bins.
+    of_kind = firsts.groupBy("kind").agg(F.array_sort(F.collect_list("first")).alias("firsts"))
     before = F.coalesce(F.sum(F.size("firsts")).over(W.orderBy("kind").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    of_kind = firsts.withColumn("before", before)  # a row per kind
+    of_kind = of_kind.withColumn("before", before)  # a row per kind
     place = F.size(F.filter("firsts", lambda f: f <= F.col("bin_idx"))) - 1
     return bins.join(F.broadcast(of_kind), "kind").select("kind", "bin_idx", (place + F.col("before")).cast("bigint").alias("cluster_id"))
 
@@ -84,6 +92,19 @@ def likely_source(quantum_us: int | None, merge_threshold: float) -> Column:
     return F.when(preempted, F.format_string("scheduler preemption (~%dx quantum)", times.cast("bigint"))).otherwise(label)
 
 
+def _steps(rows: DataFrame, keys: list[str], time: str, slice_us: int = SLICE_US) -> DataFrame:
+    """Rows with ``step``, the time since the row before of the same keys; those without one are left out.
+
+    Time is cut in slices, and the last time of a slice is carried on by one row,
+    so that keys with many rows are many tasks.
+    """
+    sliced = rows.select(*keys, F.col(time).alias("_t"), F.floor(F.col(time) / slice_us).alias("_slice"))
+    tails = sliced.groupBy(*keys, "_slice").agg(F.max("_t").alias("_tail"))
+    carried = tails.withColumn("_carried", F.lag("_tail").over(W.partitionBy(*keys).orderBy("_slice"))).drop("_tail")
+    before = F.coalesce(F.lag("_t").over(W.partitionBy(*keys, "_slice").orderBy("_t")), F.col("_carried"))
+    return sliced.join(carried, [*keys, "_slice"]).select(*keys, (F.col("_t") - before).alias("step")).where(F.col("step").isNotNull())
+
+
 class NoiseMiner:
     """Candidates, clusters, summary and occurrences of a run's noise."""
 
@@ -98,7 +119,7 @@ class NoiseMiner:
             raise ValueError(f"the window {self.window} is empty")
         self.ds, self.width, self.threshold, self.quantum = ds, width_us, merge_threshold, quantum_us
         self.cutoff, self.min_pes = importance_cutoff, min_pes
-        self.runtime = (self.window[1] - self.window[0]) * max(1, ds.num_pes if pes is None else len(list(pes)))
+        self.runtime = (self.window[1] - self.window[0]) * max(1, ds.num_pes if (pes := distinct_pes(pes)) is None else len(pes))
         both = execution_candidates(ds, pes, self.window, width_us).unionByName(idle_gap_candidates(ds, pes, self.window, width_us))
         #: Computed once: clusters, statistics and occurrences all read them.
         self.candidates = cut(both.withColumn("bin_idx", F.floor(F.col("noise_us") / width_us)))
@@ -116,16 +137,20 @@ class NoiseMiner:
     @cached_property
     def _summary(self) -> DataFrame:
         rows = self.assigned()
-        stats = rows.groupBy("cluster_id", "kind").agg(
-            F.median("noise_us").alias("noise_us_median"), F.min("noise_us").alias("noise_us_min"), F.max("noise_us").alias("noise_us_max"),
-            F.count(F.lit(1)).alias("occurrences"), F.countDistinct("pe_id").alias("pe_count"), F.sum("noise_us").alias("total_noise_us"),
+        # Distinct values with counts: a cluster is a tenth wide, so it has few of them.
+        counts = rows.groupBy("cluster_id", "kind", "noise_us").agg(F.count(F.lit(1)).alias("c"))
+        stats = counts.groupBy("cluster_id", "kind").agg(
+            F.percentile("noise_us", F.lit(0.5), F.col("c")).alias("noise_us_median"), F.min("noise_us").alias("noise_us_min"), F.max("noise_us").alias("noise_us_max"),
+            F.sum("c").alias("occurrences"), F.sum(F.col("noise_us") * F.col("c")).alias("total_noise_us"),
         )
-        stats = stats.withColumn("runtime_fraction", F.col("total_noise_us") / F.lit(float(self.runtime)))
+        on = rows.groupBy("cluster_id", "pe_id").agg(F.lit(1).alias("_")).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("pe_count"))
+        stats = stats.join(on, "cluster_id").withColumn("runtime_fraction", F.col("total_noise_us") / F.lit(float(self.runtime)))
         stats = stats.where((F.col("pe_count") >= self.min_pes) & (F.col("runtime_fraction") >= self.cutoff))
-        step = F.col("time_us") - F.lag("time_us").over(W.partitionBy("cluster_id", "pe_id").orderBy("time_us"))
-        periods = rows.select("cluster_id", step.alias("step")).where(F.col("step").isNotNull()).groupBy("cluster_id").agg(
-            F.median("step").alias("period_us"), F.try_divide(F.stddev_samp("step"), F.avg("step")).alias("period_cv")
-        )
+        steps = _steps(rows, ["cluster_id", "pe_id"], "time_us").groupBy("cluster_id", "step").agg(F.count(F.lit(1)).alias("c"))
+        mean, n = F.sum(F.col("step") * F.col("c")) / F.sum("c"), F.sum("c")
+        centred = steps.join(steps.groupBy("cluster_id").agg(mean.alias("mean")), "cluster_id")
+        deviation = F.when(n > 1, F.sqrt(F.sum((F.col("step") - F.col("mean")) ** 2 * F.col("c")) / (n - 1)))
+        periods = centred.groupBy("cluster_id").agg(F.percentile("step", F.lit(0.5), F.col("c")).alias("period_us"), F.try_divide(deviation, F.first("mean")).alias("period_cv"))
         return cut(stats.join(periods, "cluster_id", "left").withColumn("likely_source", likely_source(self.quantum, self.threshold)).select(
             "cluster_id", "kind", "noise_us_median", "noise_us_min", "noise_us_max", "occurrences", "pe_count", "total_noise_us", "runtime_fraction", "period_us", "period_cv", "likely_source"
         ))
@@ -142,3 +167,13 @@ class NoiseMiner:
         slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), ((F.col("time_us") - t0) / F.lit((t1 - t0) / bins)).cast("bigint")))
         value = F.count(F.lit(1)) if weight == "count" else whole(F.sum("noise_us"))
         return self.occurrences().groupBy("cluster_id", slot.cast("int").alias("time_bin")).agg(value.alias("value"))
+
+
+def noise_miner(ds: TraceDataset, pes: Pes = None, window: Window = None, **options) -> DataFrame:
+    """The summary of a run's noise, most time first; options are those of :class:`NoiseMiner`."""
+    return NoiseMiner(ds, pes, window, **options).summary().orderBy(F.desc("total_noise_us"), "cluster_id")
+
+
+def noise_occurrences(ds: TraceDataset, pes: Pes = None, window: Window = None, **options) -> DataFrame:
+    """The occurrences behind :func:`noise_miner`, by cluster and time."""
+    return NoiseMiner(ds, pes, window, **options).occurrences().orderBy("cluster_id", "time_us", "pe_id")

@@ -50,7 +50,16 @@ def brackets(records: DataFrame, keys: list[str], order: str, is_begin: Column,
     return out.where(F.col("_b") | F.col("_lost")).withColumn("matched", F.col("_b")).drop("_b", "_s", "_m", "_lost", "_level", "_next")
 
 
-def last_seen(records: DataFrame, keys: list[str], order: str, is_begin: Column, value: Column) -> DataFrame:
-    """Ends with ``begin``, the value of the latest begin before them, used or not (NULL if none)."""
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return records.withColumns({"_b": is_begin, "begin": F.last(F.when(is_begin, value), ignorenulls=True).over(w)}).where(~F.col("_b")).drop("_b")
+def last_seen(records: DataFrame, keys: list[str], order: str, is_begin: Column, value: Column, slice_bits: int = 20) -> DataFrame:
+    """Ends with ``begin``, the value of the latest begin before them, used or not (NULL if none).
+
+    The order, a whole number, is cut in slices of ``2 ** slice_bits``; the last
+    begin of a slice is carried on by one row for each slice, so that no key is
+    one task.
+    """
+    marked = records.withColumns({"_b": is_begin, "_v": F.when(is_begin, value), "_slice": F.shiftright(order, slice_bits)})
+    own = F.last("_v", ignorenulls=True).over(W.partitionBy(*keys, "_slice").orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    tails = marked.groupBy(*keys, "_slice").agg(F.max_by("_v", F.when(F.col("_b"), F.col(order))).alias("_tail"))
+    carried = tails.withColumn("_carried", F.last("_tail", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))).drop("_tail")
+    ended = marked.withColumn("_own", own).where(~F.col("_b")).join(carried, [*keys, "_slice"])
+    return ended.withColumn("begin", F.coalesce("_own", "_carried")).drop("_b", "_v", "_slice", "_own", "_carried")

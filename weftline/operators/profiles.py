@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.spans import clipped, whole
-from weftline.operators.filters import by_pe, by_sample_time, select_rows
-from weftline.operators.metrics import chare_activity_matrix, chare_duration_totals, chare_frequency_counts, chare_load_by_bin, per_pe_utilization
+from weftline.operators.filters import by_pe, by_sample_time, distinct_pes, select_rows
+from weftline.operators.metrics import chare_activity_matrix, chare_duration_totals, chare_frequency_counts, chare_load_by_bin, per_pe_utilization, percent_imbalance_by_bin
 from weftline.operators.spans import Pes, Window, bin_spans, clipped_spans, entry_spans, idle_spans
 from weftline.sources.dataset import TraceDataset
 
@@ -43,19 +43,19 @@ def _valued(rows: DataFrame, as_percentage: bool, total: Column) -> DataFrame:
 
 def time_profile(ds: TraceDataset, width_us: int = 1_000_000, pes: Pes = None, window: Window = None, *, as_percentage: bool = False, top_n: int = 15, show_idle: bool = True) -> DataFrame:
     """(bin_start, ep_id, label, total_us, value) in ms, or percent of all PEs' time in the bin."""
-    w = ds.window(window)
+    w, pes = ds.window(window), distinct_pes(pes)
     each = bin_spans(entry_spans(ds, pes, w), width_us, w).groupBy("bin_start", "ep_id", "ep_name").agg(whole(F.sum("bin_contribution_us")).alias("total_us"))
     rows = _fold_others(each, ["bin_start"], top_n)
     if show_idle:
         idle = bin_spans(idle_spans(ds, pes, w), width_us, w).groupBy("bin_start").agg(whole(F.sum("bin_contribution_us")).alias("total_us"))
         rows = rows.unionByName(idle.select("bin_start", F.lit(None).cast("int").alias("ep_id"), F.lit(IDLE).alias("label"), "total_us"))
-    n = ds.num_pes if pes is None else len(list(pes))
+    n = ds.num_pes if pes is None else len(pes)
     return _valued(rows, as_percentage, F.lit(float(n * width_us)))
 
 
 def usage_profile(ds: TraceDataset, pes: Pes = None, window: Window = None, *, top_n: int = 15, show_idle: bool = True, as_percentage: bool = False) -> DataFrame:
     """(pe_id, ep_id, label, total_us, value) in ms, or percent of the PE's accounted time; PEs that executed something."""
-    w = ds.window(window)
+    w, pes = ds.window(window), distinct_pes(pes)
     each = clipped_spans(ds, pes, w).groupBy("pe_id", "ep_id", "ep_name").agg(whole(F.sum("clipped_us")).alias("total_us"))
     rows = _fold_others(each, ["pe_id"], top_n)
     if show_idle:
@@ -178,6 +178,7 @@ def user_stats_per_pe(ds: TraceDataset, pes: Pes = None, window: Window = None,
 
 def run_comparison(runs: Mapping[str, TraceDataset], pes: Pes = None, window: Window = None, *, metric: str = "duration", top_n: int | None = 12) -> DataFrame:
     """(run, chare_name, value, rank): totals of each run for the collections with the longest time over all runs."""
+    pes = distinct_pes(pes)
     durations = reduce(DataFrame.unionByName, [chare_duration_totals(ds, pes, window).withColumn("run", F.lit(n)) for n, ds in runs.items()])
     order = _ranked(durations.groupBy("chare_name").agg(F.sum("total_duration_us").alias("t")), "t", "chare_name").select("chare_name", F.col("_rank").alias("rank"))
     if top_n is not None:
@@ -195,13 +196,22 @@ def activity_heatmap(ds: TraceDataset, metric: str = "duration", pes: Pes = None
     """(pe_id, chare_name, activity, position): the dense matrix in long form, collections by total."""
     each = chare_activity_matrix(ds, pes, window, metric)
     order = _ranked(each.groupBy("chare_name").agg(F.sum("activity").alias("t")), "t", "chare_name").select("chare_name", F.col("_rank").alias("position"))
-    # PEs times collections: the result's own size.
-    frame = each.select("pe_id").distinct().join(order.groupBy().agg(F.collect_list(F.struct("chare_name", "position")).alias("c")), how="cross").select("pe_id", F.explode("c").alias("c"))
-    frame = frame.select("pe_id", "c.chare_name", "c.position")
+    # A scaffold of PEs times collections, the result's own size: each collection has a row for every PE of the symbol table's few.
+    listed = [r.pe_id for r in each.select("pe_id").distinct().orderBy("pe_id").toLocalIterator()]
+    frame = order.select(F.explode(F.lit(listed) if listed else F.array().cast("array<int>")).alias("pe_id"), "chare_name", "position")
     same = (F.col("f.pe_id") == F.col("e.pe_id")) & F.col("f.chare_name").eqNullSafe(F.col("e.chare_name"))
     return frame.alias("f").join(each.alias("e"), same, "left").select("f.pe_id", "f.chare_name", whole(F.col("e.activity")).alias("activity"), "f.position")
 
 
+def timeline_with_imbalance(ds: TraceDataset, width_us: int = 100_000, pes: Pes = None, window: Window = None, *, chares: list[str] | None = None, top_n: int | None = None) -> DataFrame:
+    """(pe_id, bin_start, chare_name, load_us, percent_imbalance, max_load_us): the busiest collection of each cell on one grid with the imbalance of its bin."""
+    pes = distinct_pes(pes)
+    busiest = dominant_chare(ds, width_us, pes, window, chares=chares, top_n=top_n)
+    return busiest.join(percent_imbalance_by_bin(ds, width_us, pes, window).select("bin_start", "percent_imbalance", "max_load_us"), "bin_start").select(
+        "pe_id", "bin_start", "chare_name", "load_us", "percent_imbalance", "max_load_us"
+    )
+
+
 def dominant_chare(ds: TraceDataset, width_us: int = 100_000, pes: Pes = None, window: Window = None, *, chares: list[str] | None = None, top_n: int | None = None) -> DataFrame:
     """(pe_id, bin_start, chare_name, load_us): the visible collection with the most load in each cell; ties by name."""
     if top_n is not None and top_n <= 0:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.operators.pairing import brackets, by_key, last_seen, toggles
 from weftline.plans.ids import numbered
 from weftline.plans.shape import broadcast_within
+from weftline.plans.store import scratch
 from weftline.sources import logs as L
 from weftline.sources.schemas import PAPI, SCHEMAS
 from weftline.sources.symbols import Symbols
@@ -27,13 +28,24 @@ def _named(spark: SparkSession, names: dict[int, str], key: str) -> DataFrame:
 
 
 class Reconstruction:
-    """Tables of a run from its lines (pe, line_no, value)."""
+    """Tables of a run from its lines (pe, line_no, value).
 
-    def __init__(self, lines: DataFrame, symbols: Symbols, global_start: int = 0, step_event: int = -1, keep_open: bool = False):
+    With ``stage`` lines are read and taken apart once, and written by type of
+    record to the shared folder; each table then reads the types that it needs.
+    """
+
+    def __init__(self, lines: DataFrame, symbols: Symbols, global_start: int = 0, step_event: int = -1, keep_open: bool = False, stage: bool = False):
         #: Whether executions that never end are kept, with NULL ends.
         self.keep_open = keep_open
         self.spark, self.symbols, self.start, self.step_event = lines.sparkSession, symbols, global_start, step_event
-        self.rows = L.tokens(lines)
+        self.rows = self._staged(L.tokens(lines)) if stage else L.tokens(lines)
+
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        known = rows.where(F.col("code").isin(*L.KNOWN))
+        folder = scratch(self.spark, "lines")
+        # Only notes are read from the line itself.
+        known.select("pe", "line_no", "tok", F.when(F.col("code").isin(L.NOTE, L.BRACKETED_NOTE), F.col("value")).alias("value"), "code").write.partitionBy("code").parquet(folder)
+        return self.spark.read.schema("pe int, line_no bigint, tok array<string>, value string, code int").parquet(folder)
 
     def of(self, *codes: int) -> DataFrame:
         return self.rows.where(F.col("code").isin(*codes))

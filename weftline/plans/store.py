@@ -43,6 +43,9 @@ class Folder:
         self._files.delete(self._path(self.at(name)), False)
         self._files.rename(part, self._path(self.at(name)))
 
+    def rename(self, name: str, to: str) -> None:
+        self._files.rename(self._path(self.at(name)), self._path(self.at(to)))
+
     def delete(self, name: str) -> None:
         self._files.delete(self._path(self.at(name)), True)
 

@@ -102,7 +102,7 @@ class TraceDataset:
         return message_spans(self, pes, window)
 
     @cached_property
-    def ep_color_map(self) -> dict[int, str]:
+    def ep_color_map(self) -> Palette:
         """Colours of the registered entry methods, a symbol table's worth of ids."""
         return palette([r.ep_id for r in self.tables["entry_method"].select("ep_id").distinct().toLocalIterator()])
 
@@ -110,12 +110,36 @@ class TraceDataset:
         return f"TraceDataset({self.where!r}, pes={self.num_pes}, tables={sorted(self.tables)})"
 
 
-def palette(ep_ids: list[int]) -> dict[int, str]:
-    """A colour for each entry method: even steps round the hue circle by the golden ratio."""
+# Colours of the first methods, and of what is no method.
+COLOURS = [
+    "#4e79a7", "#f28e2b", "#e15759", "#76b7b2", "#59a14f", "#edc948", "#b07aa1", "#ff9da7", "#9c755f", "#bab0ac",
+    "#af7aa1", "#86bcb6", "#f1ce63", "#d37295", "#8cd17d", "#499894", "#b6992d", "#d4a6c8", "#a0cbe8", "#ffbe7d",
+]
+IDLE_COLOUR, OVERHEAD_COLOUR, OTHER_COLOUR = "#3a3a3a", "#6b6b6b", "#555555"
+
+
+class Palette(dict):
+    """Colours by method; one that is not known has the colour of others."""
+
+    def __missing__(self, ep_id: int) -> str:
+        return OTHER_COLOUR
+
+    def get(self, ep_id: int, default: str | None = None) -> str:
+        return self[ep_id] if ep_id in self else default or OTHER_COLOUR
+
+    def to_list(self, ep_ids: list[int]) -> list[str]:
+        return [self[ep] for ep in ep_ids]
+
+
+def palette(ep_ids: list[int]) -> Palette:
+    """A colour for each entry method by its id: the listed ones first, then even steps round the hue circle by the golden ratio."""
     import colorsys
 
-    out = {}
+    out = Palette()
     for i, ep in enumerate(sorted(set(ep_ids))):
+        if i < len(COLOURS):
+            out[ep] = COLOURS[i]
+            continue
         r, g, b = colorsys.hls_to_rgb((i * 0.618033988749895) % 1.0, 0.55, 0.6)
         out[ep] = f"#{round(r * 255):02x}{round(g * 255):02x}{round(b * 255):02x}"
     return out

@@ -7,7 +7,6 @@ Missing or malformed numbers count as 0.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.sources.symbols import Symbols, parse_clock, parse_symbols
@@ -18,6 +17,11 @@ CREATION, BEGIN, END, BEGIN_COMPUTATION, END_COMPUTATION = 1, 2, 3, 6, 7
 POINT, BEGIN_IDLE, END_IDLE, CREATION_BCAST, CREATION_MULTICAST = 13, 14, 15, 20, 21
 SUPPLIED, MEMORY, NOTE, BRACKETED_NOTE, STAT = 26, 27, 28, 29, 32
 BRACKET_BEGIN, BRACKET_END, PAIR = 98, 99, 100
+KNOWN = (
+    CREATION, BEGIN, END, BEGIN_COMPUTATION, END_COMPUTATION, POINT, BEGIN_IDLE, END_IDLE, CREATION_BCAST, CREATION_MULTICAST, SUPPLIED, MEMORY, NOTE, BRACKETED_NOTE, STAT, BRACKET_BEGIN, BRACKET_END, PAIR,
+)
+#: Bits of a line's number for its row in a scan's task; the rest is its split's start in KiB.
+SPLIT_BITS = 31
 #: The unset receive time as an unsigned number.
 UNSET = "18446744073709551615"
 
@@ -37,19 +41,19 @@ def discover(spark: SparkSession, folder: str) -> tuple[Symbols, tuple[int, int]
 
 
 def read_lines(spark: SparkSession, logs: list[str]) -> DataFrame:
-    """(pe, line_no, value): lines in file order, without the header line.
+    """(pe, line_no, value): lines without the header line, numbered in file order, with steps.
 
-    Splits of one file are put in order by their offset; the number within a
-    split is taken on the scan itself.
+    A number is made of the place of the line's split in the file and of its row
+    in the scan, so that a file of any size is many tasks and nothing is
+    shuffled.  Empty lines are left out.
     """
     if not logs:
         return spark.createDataFrame([], "pe int, line_no bigint, value string")
-    raw = spark.read.option("lineSep", "\n").text(logs).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
-    )
-    pe = F.regexp_extract("path", LOG_NAME, 1).cast("int")
-    order = W.partitionBy("path").orderBy("block", "at")
-    return raw.withColumns({"pe": pe, "line_no": F.row_number().over(order).cast("bigint")}).where("line_no > 1").select("pe", "line_no", "value")
+    # One column without quotes or escapes; the reader leaves out each file's first line.
+    whole = spark.read.schema("value string").options(sep="\u0001", header=True, quote="", escape="", enforceSchema=True, nullValue="", maxCharsPerColumn=-1).csv(logs)
+    raw = whole.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    line = F.shiftleft(F.shiftright("block", 10), SPLIT_BITS).bitwiseOR(F.col("at").bitwiseAND(F.lit((1 << SPLIT_BITS) - 1)))
+    return raw.where(F.col("value").isNotNull()).select(F.regexp_extract("path", LOG_NAME, 1).cast("int").alias("pe"), (line + 2).alias("line_no"), "value")  # the header is line 1
 
 
 def token(i: int | Column) -> Column:

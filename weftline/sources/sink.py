@@ -28,7 +28,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, *, compression: str
 def convert(spark: SparkSession, logs: str, folder: str, *, step_event: str = "SimulationStep", compression: str = "zstd") -> None:
     """A trace directory into the 13 tables, and the counters' names."""
     symbols, (start, _), files = discover(spark, logs)
-    run = Reconstruction(read_lines(spark, files), symbols, start, symbols.event_id(step_event))
+    run = Reconstruction(read_lines(spark, files), symbols, start, symbols.event_id(step_event), stage=True)
     names = spark.createDataFrame([(i, n) for i, n in symbols.papi_names.items() if n], "idx int, name string")
     write_tables(run.tables() | {"papi_counter": names.where(F.col("idx").isNotNull())}, folder, compression=compression)
 
