@@ -188,6 +188,9 @@ def test_grid(spark):
     want = [("a", -30, 1, 1.0, "observed"), ("a", -20, 0, 1.0, "carried"), ("a", -10, 0, 1.0, "carried"), ("a", 0, 3, 3.0, "observed"), ("a", 10, 0, 3.0, "carried"), ("a", 20, 0, 3.0, "carried"), ("a", 30, 0, 3.0, "carried"), ("a", 40, 0, None, "missing"), ("a", 50, 0, None, "missing"), ("a", 60, 1, None, "observed"), ("a", 70, 1, 9.0, "observed"), ("b", 0, 1, 5.0, "observed")]
     assert got == sorted(want, key=repr)
     assert rows(regular(df.where("t > 1000"), ["src"], "t", width_us=10)) == []
+    far = spark.createDataFrame([("a", 0, 1.0), ("a", 10**15, 2.0)], "src string, t long, v double")
+    want = [(0, "observed"), (10, "carried"), (20, "missing"), (30, "missing"), (10**15, "observed")]
+    assert rows(regular(far, ["src"], "t", "v", width_us=10, carry_cells=1, block=2, near=1), "cell_start_us", "status") == sorted(want, key=repr)
     assert rows(regular(df.where("src = 'b'"), ["src"], "t", width_us=10), "value", "status") == [(None, "observed")]
 
 

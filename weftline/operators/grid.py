@@ -24,10 +24,14 @@ def to_cells(readings: DataFrame, sources: list[str], time: str, value: str | No
     return rows.groupBy(*sources, ((F.col("_t") - F.pmod(F.col("_t"), F.lit(width_us))) / width_us).cast("bigint").alias("cell")).agg(F.count(F.lit(1)).alias("n"), latest.alias("value"))
 
 
-def grid(cells: DataFrame, sources: list[str], block: int = BLOCK) -> DataFrame:
-    """Every cell between a source's first and last."""
+def grid(cells: DataFrame, sources: list[str], block: int = BLOCK, near: int | None = None) -> DataFrame:
+    """Every cell between a source's first and last; with ``near`` only blocks of cells up to so many blocks behind one that has a reading."""
+    if near is not None:
+        held = cells.withColumn("block", F.explode(F.sequence(F.floor(F.col("cell") / block), F.floor(F.col("cell") / block) + near))).select(*sources, "block").distinct()
     ends = cells.groupBy(*sources).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
     blocks = ends.select(*sources, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("block"))
+    if near is not None:
+        blocks = ends.join(held, sources).where((F.col("block") >= F.floor(F.col("lo") / block)) & (F.col("block") <= F.floor(F.col("hi") / block)))
     first = F.greatest("lo", F.col("block") * block)
     last = F.least("hi", F.col("block") * block + (block - 1))
     return blocks.repartition(*sources, "block").select(*sources, "block", F.explode(F.sequence(first, last)).alias("cell"))
@@ -35,7 +39,7 @@ def grid(cells: DataFrame, sources: list[str], block: int = BLOCK) -> DataFrame:
 
 def regular(
     readings: DataFrame, sources: list[str], time: str, value: str | None = None,
-    *, width_us: int = 250_000, carry_cells: int = 4, block: int = BLOCK,
+    *, width_us: int = 250_000, carry_cells: int = 4, block: int = BLOCK, near: int | None = None,
 ) -> DataFrame:
     """(sources, cell_start_us, n, value, status) on a grid of ``width_us``.
 
@@ -44,12 +48,17 @@ def regular(
     'missing' (value NULL).  Without ``value``, or where a cell's readings are
     all NULL, a cell is still observed by its n; nothing is carried from it.
 
+    A reading of a far-off time, as a broken clock gives, makes every cell up to
+    it.  With ``near``, cells more than that many blocks of ``block`` cells behind
+    the last reading are left out, and missing there means that they have no row.
+    By default nothing is left out.
+
     Rows with a NULL source or time are no readings; repeated rows count in n.
     Cells reach from a source's first to its last reading; an empty table gives
     no rows.
     """
     cells = to_cells(readings, sources, time, value, width_us)
-    full = grid(cells, sources, block).join(cells, [*sources, "cell"], "left")
+    full = grid(cells, sources, block, near).join(cells, [*sources, "cell"], "left")
     here = W.partitionBy(*sources, "block").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)
     known = F.when(F.col("value").isNotNull(), F.struct(F.col("cell").alias("at"), F.col("value").alias("v")))
     of_block = (

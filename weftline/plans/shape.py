@@ -84,7 +84,10 @@ def spread(df: DataFrame) -> DataFrame:
     partitions than cores are not moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if (tasks_of(df) or cores) < cores else df
+
+
+def tasks_of(df: DataFrame) -> int | None:
+    """Partitions of a plan without a shuffle; None where only running it would tell."""
     plan = df._jdf.queryExecution()
-    if "Exchange" in plan.executedPlan().toString() or plan.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    return None if "Exchange" in plan.executedPlan().toString() else plan.toRdd().getNumPartitions()
