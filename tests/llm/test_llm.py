@@ -10,7 +10,7 @@ import pytest
 
 from weftline.llm.leakage import distance, leaks, normal
 from weftline.llm.packing import pack, pack_lengths, step_groups, token_counts
-from weftline.llm.relative_quantiles import RelativeSketch, merge_sketches, quantiles, sketch_by
+from weftline.llm.relative_quantiles import RelativeSketch, _levels, merge_sketches, quantiles, sketch_by
 from weftline.llm.sentences import languages_of, sentences, split
 
 RANKS = [0.5, 0.9, 0.99, 0.999]
@@ -58,7 +58,8 @@ def test_sketches_by_key(spark):
         assert r.n == len(own) and r.greatest == max(own)
         assert all(off(own, q, r[c]) <= r[f"{c}_rank_error"] for q, c in zip(RANKS, ("p50", "p90", "p99", "p99_9"), strict=True))
     assert not groups
-    for salts in (0, 3):
+    assert _levels(64) == [] and _levels(4096) == [64] and _levels(800_000) == [12_500, 196, 4]
+    for salts in (0, 3, [7, 2]):
         for r in quantiles(merge_sketches(by_day, ["k"], salts=salts), ["k"]).collect():
             own = whole[r.k]
             assert r.n == len(own) and off(own, 0.99, r.p99) <= r.p99_rank_error

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.plans.ranges import key_runs, walk
-from weftline.plans.shape import shuffle_partitions
+from weftline.plans.shape import shuffle_partitions, tasks_of
 
 SECTION = 50  # k: items of a compactor's section
 SECTIONS = 3  # sections that a compactor begins with
@@ -223,13 +223,27 @@ def _combine(keys: list[str], k: int):
     return step
 
 
-def merge_sketches(sketches: DataFrame, keys: list[str], *, k: int = SECTION, salts: int = 0) -> DataFrame:
-    """One sketch per key.  With ``salts``, a key's sketches are first merged in that many groups."""
+#: Sketches of one key that a task merges.
+FAN_IN = 64
+
+
+def _levels(sketches: int) -> list[int]:
+    """Groups of each level of a tree that merges so many sketches of one key, FAN_IN at a time."""
+    levels = []
+    while (sketches := -(-sketches // FAN_IN)) > 1:
+        levels.append(sketches)
+    return levels
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], *, k: int = SECTION, salts: int | list[int] = 0) -> DataFrame:
+    """One sketch per key.  With ``salts``, a key's sketches are first merged in that many groups, level by level."""
     ddl = ", ".join(f"{c} bigint" for c in keys) + ", " + _FIELDS_DDL
     plain = [*keys, "n", "items", "held", "states", "sections", "sizes"]
     n = shuffle_partitions(sketches.sparkSession)
-    if salts > 1:
-        salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("items", "n"), F.lit(salts)))
+    for groups in [salts] if isinstance(salts, int) else salts:
+        if groups < 2:
+            continue
+        salted = sketches.withColumn("_salt", F.pmod(F.xxhash64("items", "n"), F.lit(groups)))
         laid = salted.repartition(n, *keys, "_salt").sortWithinPartitions(*keys, "_salt").select("_salt", *plain)
         sketches = walk(laid, _combine([*keys, "_salt"], k), "" + ", ".join(f"{c} bigint" for c in [*keys, "_salt"]) + ", " + _FIELDS_DDL)
     laid = sketches.select(*plain).repartition(n, *keys).sortWithinPartitions(*keys)
@@ -237,7 +251,7 @@ def merge_sketches(sketches: DataFrame, keys: list[str], *, k: int = SECTION, sa
 
 
 def sketch_by(rows: DataFrame, keys: list[str], value: str, *, k: int = SECTION) -> DataFrame:
-    """A sketch of ``value`` per key, built in each scan task and merged once.
+    """A sketch of ``value`` per key, built in each scan task and merged in a tree.
 
     What is shuffled of a key is a sketch per task, of bounded size, however
     many rows it has.  Keys and values are integers; rows with a NULL in either
@@ -245,7 +259,8 @@ def sketch_by(rows: DataFrame, keys: list[str], value: str, *, k: int = SECTION)
     """
     got = rows.select(*[F.col(c).cast("bigint").alias(c) for c in keys], F.col(value).cast("bigint").alias("v")).dropna()
     ddl = ", ".join(f"{c} bigint" for c in keys) + ", " + _FIELDS_DDL
-    return merge_sketches(walk(got, _build(keys, k), ddl), keys, k=k)
+    tasks = tasks_of(got) or shuffle_partitions(rows.sparkSession)
+    return merge_sketches(walk(got, _build(keys, k), ddl), keys, k=k, salts=_levels(tasks))
 
 
 def _read(keys: list[str], ranks: list[float], k: int):
