@@ -180,10 +180,10 @@ class Reconstruction:
     def memory_sample(self) -> DataFrame:
         return conform(self.of(L.MEMORY).select(F.col("pe").alias("pe_id"), self.aligned(L.token(2)).alias("time_us"), L.token(1).alias("bytes")), "memory_sample")
 
-    def tables(self) -> dict[str, DataFrame]:
-        """All 13 tables."""
-        instances = self.chare_instance()
-        executions = self.execution(instances)
+    def tables(self, instances: DataFrame | None = None, executions: DataFrame | None = None) -> dict[str, DataFrame]:
+        """All 13 tables; instances and executions may be given as they were written."""
+        instances = self.chare_instance() if instances is None else instances
+        executions = self.execution(instances) if executions is None else executions
         return self.symbols.tables(self.spark) | {
             "processing_element": self.processing_element(), "chare_instance": instances, "execution": executions, "message": self.message(), "idle_interval": self.idle_interval(),
             "migration_episode": self.migration_episode(executions, instances), "user_event": self.user_event(), "simulation_step": self.simulation_step(), "user_stat": self.user_stat(), "memory_sample": self.memory_sample(),

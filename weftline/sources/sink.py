@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,26 +13,39 @@ from weftline.sources.logs import discover, read_lines
 ROW_GROUP_ROWS = 100_000
 
 
+#: Tables written at the same time: most are small, and wait for their own few tasks.
+AT_ONCE = 6
+
+
 def write_tables(tables: dict[str, DataFrame], folder: str, *, compression: str = "zstd", partitions: int | None = None) -> None:
     """Each table as ``folder/<name>.parquet``.
 
     Tables with a start time are laid out by (PE, start), so that filters on
     either skip row groups.
     """
-    for name, df in tables.items():
-        layout = [c for c in ("pe_id", "start_time_us") if c in df.columns]
-        out = df
+
+    def write(named: tuple[str, DataFrame]) -> None:
+        name, out = named
+        layout = [c for c in ("pe_id", "start_time_us") if c in out.columns]
         if len(layout) == 2:
-            out = (df.repartitionByRange(partitions, *layout) if partitions else df.repartitionByRange(*layout)).sortWithinPartitions(*layout)
+            out = (out.repartitionByRange(partitions, *layout) if partitions else out.repartitionByRange(*layout)).sortWithinPartitions(*layout)
         out.write.mode("overwrite").option("compression", compression).option("parquet.block.row.count.limit", ROW_GROUP_ROWS).parquet(f"{folder}/{name}.parquet")
 
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        list(pool.map(write, tables.items()))
+
 
 def convert(spark: SparkSession, logs: str, folder: str, *, step_event: str = "SimulationStep", compression: str = "zstd") -> None:
     """A trace directory into the 13 tables, and the counters' names."""
     symbols, (start, _), files = discover(spark, logs)
     run = Reconstruction(read_lines(spark, files), symbols, start, symbols.event_id(step_event), stage=True)
     names = spark.createDataFrame([(i, n) for i, n in symbols.papi_names.items() if n], "idx int, name string")
-    write_tables(run.tables() | {"papi_counter": names.where(F.col("idx").isNotNull())}, folder, compression=compression)
+    instances = run.chare_instance()
+    write_tables({"execution": run.execution(instances)}, folder, compression=compression)
+    # Migrations are read off the executions as they were written, which are not put together a second time.
+    written = spark.read.parquet(f"{folder}/execution.parquet")
+    others = {n: t for n, t in run.tables(instances, written).items() if n != "execution"}
+    write_tables(others | {"papi_counter": names.where(F.col("idx").isNotNull())}, folder, compression=compression)
 
 
 def main(argv: list[str] | None = None) -> None:
