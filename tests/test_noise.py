@@ -1,9 +1,10 @@
 """Planted disturbances."""
 
 import pytest
-from conftest import noisy_run, rows
+from conftest import make, noisy_run, rows
 
 from weftline.operators.noise import NoiseMiner, assign_clusters
+from weftline.sources.dataset import TraceDataset
 
 
 def by_kind(miner):
@@ -50,3 +51,25 @@ def test_anchored_merge(spark):
     got = rows(assign_clusters(bins, 100, 0.1), "kind", "bin_idx", "cluster_id")
     assert [c for _, _, c in got] == [0, 0, 1, 1, 2, 3]
     assert [c for _, _, c in rows(assign_clusters(bins, 100, 0.0), "kind", "bin_idx", "cluster_id")] == [0, 1, 2, 3, 4, 5]
+
+
+@pytest.fixture(scope="module")
+def unusable(spark):
+    """1,200 of 2,600 executions on two PEs have ends that are no times: their sum is beyond bigint."""
+    ex = [{"pe_id": i % 2, "event": i, "ep_id": 0, "start_time_us": i * 1000, "end_time_us": i * 1000 + d, "wall_duration_us": d} for i, d in enumerate([1000] * 1400 + [9 * 10**15] * 1200)]
+    run = noisy_run(spark)
+    pes = make(spark, "processing_element", [{"pe_id": p, "total_pes": 2, "begin_time_us": 0, "end_time_us": 2_600_000, "global_start_us": 0, "aligned_begin_us": 0} for p in (0, 1)])
+    return TraceDataset(spark, dict(run.tables) | {"execution": make(spark, "execution", ex), "processing_element": pes})
+
+
+TOTAL = 1200 * (9 * 10**15 - 1000)
+
+
+def test_total_beyond_bigint(unusable):
+    got = by_kind(NoiseMiner(unusable))["execution"]
+    assert TOTAL > 2**63 and (int(got.total_noise_us), got.occurrences) == (TOTAL, 1200)
+    assert abs(got.runtime_fraction / (TOTAL / 5_200_000) - 1) < 1e-12
+
+
+def test_total_within_bigint(noisy):
+    assert dict(NoiseMiner(noisy).summary().dtypes)["total_noise_us"] == "bigint"

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.spans import whole
+from weftline.functions.spans import wide, wide_sum
 from weftline.operators.filters import distinct_pes
 from weftline.operators.spans import Pes, Window, entry_spans, idle_spans
-from weftline.plans.shape import broadcast_within, cut
+from weftline.plans.shape import broadcast_within, cut, narrowed
 from weftline.sources.dataset import TraceDataset
 
 SLICE_US = 10_000_000
@@ -132,6 +132,7 @@ class NoiseMiner:
         return self.candidates.join(broadcast_within(self.clusters), ["kind", "bin_idx"])
 
     def summary(self) -> DataFrame:
+        """A row per cluster.  total_noise_us is bigint, or decimal(38, 0) where unusable ends take a cluster's sum beyond that."""
         return self._summary
 
     @cached_property
@@ -141,7 +142,7 @@ class NoiseMiner:
         counts = rows.groupBy("cluster_id", "kind", "noise_us").agg(F.count(F.lit(1)).alias("c"))
         stats = counts.groupBy("cluster_id", "kind").agg(
             F.percentile("noise_us", F.lit(0.5), F.col("c")).alias("noise_us_median"), F.min("noise_us").alias("noise_us_min"), F.max("noise_us").alias("noise_us_max"),
-            F.sum("c").alias("occurrences"), F.sum(F.col("noise_us") * F.col("c")).alias("total_noise_us"),
+            F.sum("c").alias("occurrences"), wide(F.sum(F.col("noise_us").cast("decimal(38,0)") * F.col("c"))).alias("total_noise_us"),
         )
         on = rows.groupBy("cluster_id", "pe_id").agg(F.lit(1).alias("_")).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("pe_count"))
         stats = stats.join(on, "cluster_id").withColumn("runtime_fraction", F.col("total_noise_us") / F.lit(float(self.runtime)))
@@ -152,22 +153,23 @@ class NoiseMiner:
         total = F.sum(x * F.col("c"))
         deviation = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.sum(x * x * F.col("c")) - total * total / n) / (n - 1))))
         periods = steps.groupBy("cluster_id").agg(F.percentile("step", F.lit(0.5), F.col("c")).alias("period_us"), F.try_divide(deviation, total / n).alias("period_cv"))
-        return cut(stats.join(periods, "cluster_id", "left").withColumn("likely_source", likely_source(self.quantum, self.threshold)).select(
+        return narrowed(stats.join(periods, "cluster_id", "left").withColumn("likely_source", likely_source(self.quantum, self.threshold)).select(
             "cluster_id", "kind", "noise_us_median", "noise_us_min", "noise_us_max", "occurrences", "pe_count", "total_noise_us", "runtime_fraction", "period_us", "period_cv", "likely_source"
-        ))
+        ), "total_noise_us")
 
     def occurrences(self) -> DataFrame:
         kept = self._summary.select("cluster_id")
         return self.assigned().join(broadcast_within(kept), "cluster_id", "left_semi").select("cluster_id", "kind", "pe_id", "time_us", "noise_us")
 
     def timeline(self, bins: int = 50, weight: str = "count") -> DataFrame:
-        """(cluster_id, time_bin, value): occurrences or their time over the window."""
+        """(cluster_id, time_bin, value): occurrences or their time over the window, the time as wide as in :meth:`summary`."""
         if bins <= 0 or weight not in ("count", "time"):
             raise ValueError("bins must be positive, weight 'count' or 'time'")
         t0, t1 = self.window
         slot = F.greatest(F.lit(0), F.least(F.lit(bins - 1), ((F.col("time_us") - t0) / F.lit((t1 - t0) / bins)).cast("bigint")))
-        value = F.count(F.lit(1)) if weight == "count" else whole(F.sum("noise_us"))
-        return self.occurrences().groupBy("cluster_id", slot.cast("int").alias("time_bin")).agg(value.alias("value"))
+        value = F.count(F.lit(1)) if weight == "count" else wide_sum("noise_us")
+        out = self.occurrences().groupBy("cluster_id", slot.cast("int").alias("time_bin")).agg(value.alias("value"))
+        return out if weight == "count" else narrowed(out, "value")
 
 
 def noise_miner(ds: TraceDataset, pes: Pes = None, window: Window = None, **options) -> DataFrame:
