@@ -73,3 +73,8 @@ def test_total_beyond_bigint(unusable):
 
 def test_total_within_bigint(noisy):
     assert dict(NoiseMiner(noisy).summary().dtypes)["total_noise_us"] == "bigint"
+
+
+def test_labels_beyond_bigint(unusable):
+    got = NoiseMiner(unusable).summary().select("cluster_id", "likely_source").collect()
+    assert [tuple(r) for r in got] == [(0, "periodic daemon")]
