@@ -78,3 +78,8 @@ def test_total_within_bigint(noisy):
 def test_labels_beyond_bigint(unusable):
     got = NoiseMiner(unusable).summary().select("cluster_id", "likely_source").collect()
     assert [tuple(r) for r in got] == [(0, "periodic daemon")]
+
+
+def test_occurrences_beyond_bigint(unusable):
+    got = NoiseMiner(unusable).occurrences()
+    assert got.count() == 1200 and sum(r.noise_us for r in got.collect()) == TOTAL
