@@ -83,3 +83,9 @@ def test_labels_beyond_bigint(unusable):
 def test_occurrences_beyond_bigint(unusable):
     got = NoiseMiner(unusable).occurrences()
     assert got.count() == 1200 and sum(r.noise_us for r in got.collect()) == TOTAL
+
+
+def test_timeline_beyond_bigint(unusable):
+    miner = NoiseMiner(unusable)
+    assert sum(r.value for r in miner.timeline(10).collect()) == 1200
+    assert int(miner.timeline(1, "time").first().value) == TOTAL
