@@ -1,7 +1,7 @@
 """Analysis operators on a run of twelve executions."""
 
 import pytest
-from conftest import rows
+from conftest import make, rows
 
 from weftline.operators import metrics as M
 from weftline.operators import profiles as P
@@ -132,3 +132,16 @@ def test_palette():
 def test_dataset_methods(tiny):
     assert tiny.entry_spans([0]).count() == 3 and tiny.idle_spans(window=(0, 300_001)).count() == 1 and tiny.message_spans([3]).count() == 1
     assert set(tiny.ep_color_map) == {0, 1, 2}
+
+
+def endless(spark, tiny, pes):
+    """1,200 executions dealt to the PEs, a method to each PE, with ends that are no times: their durations add up to more than bigint holds."""
+    ex = [{"pe_id": pes[i % len(pes)], "event": i, "ep_id": pes[i % len(pes)], "start_time_us": i, "end_time_us": i + 9 * 10**15, "wall_duration_us": 9 * 10**15} for i in range(1200)]
+    return TraceDataset(spark, dict(tiny.tables) | {"execution": make(spark, "execution", ex)})
+
+
+def test_cumulative_beyond_bigint(spark, tiny):
+    four = M.cumulative_imbalance(endless(spark, tiny, [0, 1, 2, 3]), time_points_us=[2000.0])
+    assert dict(four.dtypes)["max_load_us"] == "bigint" and rows(four) == [(2000.0, 300 * 9 * 10**15, 300 * 9e15, 0.0)]
+    one = M.cumulative_imbalance(endless(spark, tiny, [0]), time_points_us=[2000.0]).first()
+    assert (int(one.max_load_us), one.mean_load_us) == (1200 * 9 * 10**15, 1200 * 9e15)

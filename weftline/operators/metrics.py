@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.spans import clipped, imbalance, whole
+from weftline.functions.spans import clipped, imbalance, whole, wide, wide_sum
 from weftline.operators.filters import distinct_pes
 from weftline.operators.spans import Pes, Window, bin_spans, clipped_spans, entry_spans, idle_spans, pe_values
+from weftline.plans.shape import narrowed
 from weftline.sources.dataset import TraceDataset
 
 
@@ -53,7 +54,8 @@ def cumulative_imbalance(ds: TraceDataset, pes: Pes = None, window: Window = Non
 
     A span is put in the bucket of the first point behind its start; a running
     sum over the points then gives each point's load, so that spans and points
-    are never paired.  A node counts from its first span on.
+    are never paired.  A node counts from its first span on.  max_load_us is bigint,
+    or decimal(38, 0) where unusable ends take a node's sum beyond that.
     """
     if nodes <= 0:
         raise ValueError("nodes must be positive")
@@ -75,14 +77,15 @@ def cumulative_imbalance(ds: TraceDataset, pes: Pes = None, window: Window = Non
     # How many points lie at or before the start, by halving: from the highest power of two down, a step is taken where the point there is no later.
     halves = F.lit([1 << b for b in reversed(range(len(at).bit_length()))] or [1])
     first = F.aggregate(halves, F.lit(0), lambda k, b: F.when((k + b <= len(at)) & (F.get(bounds, k + b - 1) <= F.col("start_time_us")), k + b).otherwise(k))
-    loads = spans.withColumn("node", F.col("pe_id") % nodes).withColumn("k", first).where(F.col("k") < len(at)).groupBy("k", "node").agg(whole(F.sum("wall_duration_us")).alias("load"))
+    loads = spans.withColumn("node", F.col("pe_id") % nodes).withColumn("k", first).where(F.col("k") < len(at)).groupBy("k", "node").agg(wide_sum("wall_duration_us").alias("load"))
     present = loads.select("node").distinct()
     frame = listed.withColumn("_", F.lit(0)).join(F.broadcast(present.withColumn("_", F.lit(0))), "_").drop("_")
     running = W.partitionBy("node").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
     of_node = frame.join(loads, ["k", "node"], "left").withColumn("load", F.sum("load").over(running))
-    of_point = of_node.groupBy("k").agg(F.max("load").alias("max_load_us"), F.try_divide(F.sum("load"), F.count("load")).alias("mean_load_us"))
+    of_point = of_node.groupBy("k").agg(F.max("load").alias("max_load_us"), F.try_divide(F.sum("load").cast("double"), F.count("load")).alias("mean_load_us"))
     joined = listed.join(of_point, "k", "left").withColumn("percent_imbalance", imbalance("max_load_us", "mean_load_us"))
-    return joined.select("time_point_us", whole(F.col("max_load_us")).alias("max_load_us"), F.coalesce("mean_load_us", F.lit(0.0)).alias("mean_load_us"), "percent_imbalance").orderBy("time_point_us")
+    out = joined.select("time_point_us", wide(F.col("max_load_us")).alias("max_load_us"), F.coalesce("mean_load_us", F.lit(0.0)).alias("mean_load_us"), "percent_imbalance").orderBy("time_point_us")
+    return narrowed(out, "max_load_us")
 
 
 def chare_load_by_bin(ds: TraceDataset, width_us: int, pes: Pes = None, window: Window = None) -> DataFrame:
