@@ -56,7 +56,7 @@ def test_anchored_merge(spark):
 @pytest.fixture(scope="module")
 def unusable(spark):
     """1,200 of 2,600 executions on two PEs have ends that are no times: their sum is beyond bigint."""
-    ex = [{"pe_id": i % 2, "event": i, "ep_id": 0, "start_time_us": i * 1000, "end_time_us": i * 1000 + d, "wall_duration_us": d} for i, d in enumerate([1000] * 1400 + [9 * 10**15] * 1200)]
+    ex = [{"pe_id": i % 2, "event": i, "ep_id": 0, "start_time_us": i // 2 * 1000, "end_time_us": i // 2 * 1000 + d, "wall_duration_us": d} for i, d in enumerate([1000] * 1400 + [9 * 10**15] * 1200)]
     run = noisy_run(spark)
     pes = make(spark, "processing_element", [{"pe_id": p, "total_pes": 2, "begin_time_us": 0, "end_time_us": 2_600_000, "global_start_us": 0, "aligned_begin_us": 0} for p in (0, 1)])
     return TraceDataset(spark, dict(run.tables) | {"execution": make(spark, "execution", ex), "processing_element": pes})
