@@ -6,7 +6,7 @@ from conftest import make, rows
 from weftline.operators import metrics as M
 from weftline.operators import profiles as P
 from weftline.operators.filters import by_pe, by_time
-from weftline.operators.spans import bin_spans, entry_spans, message_latency
+from weftline.operators.spans import bin_loads, bin_spans, entry_spans, message_latency
 from weftline.sources.dataset import TraceDataset, palette
 
 
@@ -152,3 +152,21 @@ def test_profile_beyond_bigint(spark, tiny):
     assert dict(got.dtypes)["total_us"] == "bigint" and sorted((r.ep_id, r.total_us, r.pct) for r in got.collect()) == [(e, 300 * 9 * 10**15, 25.0) for e in range(4)]
     one = P.ep_profile(endless(spark, tiny, [0])).first()
     assert (one.ep_id, int(one.total_us), one.pct) == (0, 1200 * 9 * 10**15, 100.0)
+
+
+def test_loads_are_the_sums_of_bins(spark):
+    dealt = [(k, s, None if s % 7 == 0 else s + d) for i in range(300) for k, s, d in [((None, "a", "b")[i % 3], i * 37 % 1200 - 100, i * 53 % 400 - 30)]]
+    quirks = [("q", 100, 100), ("q", 150, 150), ("q", 180, 170), ("q", 90, 210), ("q", 950, None), ("q", 300, 250), ("r", 90, 210), ("r", 190, 410), ("r", 700, 2000), ("t", -50, 20), ("t", 1000, None)]
+    spans = spark.createDataFrame(dealt + quirks, "k string, start_time_us long, end_time_us long").where("start_time_us < 1000 AND (end_time_us IS NULL OR end_time_us > 0)")
+    for width in (1, 100, 300, 5000):
+        want = bin_spans(spans, width, (0, 1000)).groupBy("k", "bin_start").agg({"bin_contribution_us": "sum"})
+        assert rows(bin_loads(spans, width, (0, 1000), ["k"])) == rows(want)
+
+
+def test_open_spans_over_many_bins(spark, tiny):
+    """3,000 executions without an end over a million bins: a row for each would be three thousand million."""
+    ex = [{"pe_id": 0, "event": i, "ep_id": 1, "start_time_us": i} for i in range(3000)]
+    run = TraceDataset(spark, dict(tiny.tables) | {"execution": make(spark, "execution", ex)})
+    got = P.dominant_chare(run, 10_000, window=(0, 10_000_000_000), top_n=3)
+    n, least, most = got.selectExpr("count(*)", "min(load_us)", "max(load_us)").first()
+    assert (n, least, most) == (1_000_000, sum(10_000 - i for i in range(3000)), 3000 * 10_000)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.spans import clipped, imbalance, whole, wide, wide_sum
 from weftline.operators.filters import distinct_pes
-from weftline.operators.spans import Pes, Window, bin_spans, clipped_spans, entry_spans, idle_spans, pe_values
+from weftline.operators.spans import Pes, Window, bin_loads, bin_spans, clipped_spans, entry_spans, idle_spans, pe_values
 from weftline.plans.shape import narrowed
 from weftline.sources.dataset import TraceDataset
 
@@ -89,8 +89,12 @@ def cumulative_imbalance(ds: TraceDataset, pes: Pes = None, window: Window = Non
 
 
 def chare_load_by_bin(ds: TraceDataset, width_us: int, pes: Pes = None, window: Window = None) -> DataFrame:
-    w = ds.window(window)
-    return bin_spans(entry_spans(ds, pes, w), width_us, w).groupBy("pe_id", "bin_start", "chare_name").agg(whole(F.sum("bin_contribution_us")).alias("load_us")).orderBy("pe_id", "bin_start", F.desc("load_us"), "chare_name")
+    return chare_loads(entry_spans(ds, pes, w := ds.window(window)), width_us, w).orderBy("pe_id", "bin_start", F.desc("load_us"), "chare_name")
+
+
+def chare_loads(spans: DataFrame, width_us: int, window: tuple[int, int]) -> DataFrame:
+    """Busy time of each PE, bin and collection of spans with names, in no order."""
+    return bin_loads(spans, width_us, window, ["pe_id", "chare_name"]).select("pe_id", "bin_start", "chare_name", "load_us")
 
 
 def per_pe_utilization(ds: TraceDataset, pes: Pes = None, window: Window = None) -> DataFrame:
